@@ -7,7 +7,8 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text that a Python task holds as objects at once (a longer text is a block of its own).
@@ -50,6 +51,11 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def row_key(doc_id: str, text: str) -> Column:
+    """Equal for rows with equal ids and texts only."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit("null")), F.lit("|"), F.coalesce(F.col(f"`{text}`"), F.lit("")))))
+
+
 def text_blocks(batch: pa.RecordBatch, text: str) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
     """Slices of a batch, each with its texts as bytes and about BLOCK_BYTES of them."""
     column = batch.column(text)

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from . import chat, quality, sharding, tokens
+from . import chat, decontam, neardup, quality, sharding, tokens
 
 QUERIES = {
     "op2_host_quality": quality.query,
+    "op3_winnowing": decontam.query,
     "op5_hash_tree_shards": sharding.query,
     "op6_chat_format": chat.query,
+    "op10_circulant_minhash": neardup.query,
     "op9_prefix_token_counts": tokens.query,
 }
 
 SQL = {
     "op2_host_quality": quality.SQL,
+    "op3_winnowing": decontam.SQL,
     "op6_chat_format": chat.SQL,
 }
