@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, neardup, quality, sharding, tokens
+from . import chat, decontam, neardup, ppm, quality, sharding, tokens
 
 QUERIES = {
     "op2_host_quality": quality.query,
     "op3_winnowing": decontam.query,
     "op5_hash_tree_shards": sharding.query,
     "op6_chat_format": chat.query,
-    "op10_circulant_minhash": neardup.query,
+    "op7_ppm_scores": ppm.query,
     "op9_prefix_token_counts": tokens.query,
+    "op10_circulant_minhash": neardup.query,
 }
 
 SQL = {
