@@ -12,20 +12,34 @@ from __future__ import annotations
 from collections.abc import Callable
 
 #: Entries of a worker's memo tables, which are emptied when full (they only save time).
-MEMO = 300_000
+MEMO = 500_000
 
 
 class PairAutomaton:
-    """Tokens are strings of symbols (``str``); ``rank(a, b)`` orders merges, None where a pair doesn't merge."""
+    """Tokens are strings of symbols; ``rank(a, b)`` orders merges, the lowest first, None where a pair doesn't merge."""
 
-    def __init__(self, tokens: dict[str, int], rank: Callable[[str, str], float | None]):
+    def __init__(self, tokens: dict[str, int], rank: Callable[[str, str], float | None], made: dict[str, tuple[str, str]] | None = None):
         self.rank = rank
-        self.tokens = {t: i for t, i in tokens.items() if len(t) == 1 or self.merged(t) == [t]}
-        self.suffixes = {t[i:] for t in self.tokens for i in range(len(t))}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        #: How each token is made: the rank and the parts of its last merge.  One symbol is never made.
+        self.made: dict[str, tuple[float, str, str]] = {}
+        for t in tokens:
+            if len(t) > 1:
+                parts = made.get(t) if made is not None else self.last_merge(t)
+                if parts:
+                    self.made[t] = (rank(*parts), *parts)
+        import ahocorasick
 
-    def merged(self, text: str) -> list[str]:
-        """Plain merging of a short text, the lowest rank first and then the leftmost."""
+        self.tokens = [t for t in tokens if len(t) == 1 or t in self.made]
+        #: Finds the tokens that end at each place of a text, the longest first.
+        self.ends = ahocorasick.Automaton(ahocorasick.STORE_ANY)
+        for i, t in enumerate(self.tokens):
+            self.ends.add_word(t, (i, len(t)))
+        self.ends.make_automaton()
+        self.single = {t for t in self.tokens if len(t) == 1}
+        self.pairs: dict[int, bool] = {}
+
+    def last_merge(self, text: str) -> tuple[str, str] | None:
+        """The two parts that merging a text ends with, None if it ends with more."""
         parts = list(text)
         while len(parts) > 1:
             best = at = None
@@ -34,56 +48,66 @@ class PairAutomaton:
                 if r is not None and (best is None or r < best):
                     best, at = r, i
             if at is None:
-                break
+                return None
+            if len(parts) == 2:
+                return parts[0], parts[1]
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+        return None
 
     def fits(self, a: str, b: str) -> bool:
-        key = (a, b)
-        found = self.pairs.get(key)
-        if found is None:
-            if len(self.pairs) >= MEMO:
-                self.pairs.clear()
-            found = self.pairs[key] = self.merged(a + b) == [a, b]
-        return found
+        """Whether b may follow a: no merge across the border comes before the merges that make a and b.
+
+        The border is followed back in time: the later of the two merges beside it
+        is undone, and the pair that is then at the border must not merge while
+        both of its tokens are there.  At equal ranks the left merge comes first.
+        """
+        made, rank = self.made.get, self.rank
+        until, or_at = float("inf"), False
+        while True:
+            r = rank(a, b)
+            if r is not None and (r < until or (or_at and r == until)):
+                return False
+            left, right = made(a), made(b)
+            if left and (not right or left[0] > right[0]):
+                until, or_at, a = left[0], False, left[2]
+            elif right:
+                until, or_at, b = right[0], True, right[1]
+            else:
+                return True
 
-    def prefixes(self, text: str) -> tuple[list[int], list[str]]:
-        """For each prefix of 1, 2, ... symbols: its number of tokens and its last token.
+    def prefixes(self, text: str) -> tuple[list[int], list[int]]:
+        """For each prefix of 0, 1, 2, ... symbols: its number of tokens and the place of its last token in ``tokens``.
 
-        A symbol that is no token stands alone and counts as one.
+        All symbols of the text must be tokens.
         """
-        counts: list[int] = []
-        last: list[str] = []
-        tokens, suffixes, pairs = self.tokens, self.suffixes, self.pairs
-        for j in range(1, len(text) + 1):
-            found = None
-            starts = []
-            i = j - 1
-            while i >= 0 and (t := text[i:j]) in suffixes:
-                if t in tokens:
-                    starts.append(i)
-                i -= 1
-            for i in reversed(starts):
-                if i == 0:
-                    found = text[:j]
-                    counts.append(1)
-                    break
-                before, t = last[i - 1], text[i:j]
-                ok = pairs.get((before, t))
-                if ok or (ok is None and self.fits(before, t)):
-                    found = t
-                    counts.append(counts[i - 1] + 1)
-                    break
-            if found is None:
-                found = text[j - 1]
-                counts.append((counts[-1] if counts else 0) + 1)
-            last.append(found)
+        n = len(text)
+        counts, last = [0] * (n + 1), [-1] * (n + 1)
+        tokens, pairs = self.tokens, self.pairs
+        known = pairs.get
+        for end, (t, size) in self.ends.iter(text):
+            j = end + 1
+            if last[j] >= 0:
+                continue
+            i = j - size
+            if i:
+                before = last[i]
+                key = before << 20 | t
+                ok = known(key)
+                if ok is None:
+                    if len(pairs) >= MEMO:
+                        pairs.clear()
+                    ok = pairs[key] = self.fits(tokens[before], tokens[t])
+                if not ok:
+                    continue
+            last[j] = t
+            counts[j] = counts[i] + 1
         return counts, last
 
-    def encode(self, text: str) -> list[str]:
+    def encode(self, text: str) -> list[int]:
+        """The tokens of a text, as places in ``tokens``."""
         _, last = self.prefixes(text)
         out, j = [], len(text)
         while j:
-            out.append(last[j - 1])
-            j -= len(last[j - 1])
+            out.append(last[j])
+            j -= len(self.tokens[last[j]])
         return out[::-1]

@@ -54,13 +54,17 @@ class PrefixCounter:
         special = [t["content"] for t in spec["added_tokens"]]
         if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"]):
             raise ValueError("special tokens that take their surroundings aren't known")
-        made = {a + b for a, b in merges} | set(byte_symbols())
-        self.bpe = PairAutomaton({t: i for t, i in model["vocab"].items() if t in made}, lambda a, b: merges.get((a, b)))
+        # Tokens as texts of one character for each byte.
+        raw = str.maketrans({c: chr(b) for b, c in enumerate(byte_symbols())})
+        merges = {(a.translate(raw), b.translate(raw)): i for (a, b), i in merges.items()}
+        made = {a + b: (a, b) for a, b in merges}
+        rank = merges.get
+        vocab = {t.translate(raw): i for t, i in model["vocab"].items()}
+        self.bpe = PairAutomaton({t: i for t, i in vocab.items() if t in made or len(t) == 1}, lambda a, b: rank((a, b)), made)
         self.split = regex.compile(PATTERN).findall
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.hints = special
         self.spaces = regex.compile(r"\s\s").search
-        self.symbols = byte_symbols()
         self.pieces: dict[str, tuple[int, bytes]] = {}
         self.words: dict[str, tuple[int, bytes]] = {}
 
@@ -75,14 +79,13 @@ class PrefixCounter:
 
     def counts(self, text: str) -> list[int]:
         """Tokens of each prefix of a piece that is split no further."""
-        symbols, ends, n = [], [], 0
-        for ch in text:
-            b = ch.encode("utf-8", "replace")
-            symbols += [self.symbols[x] for x in b]
-            n += len(b)
-            ends.append(n - 1)
-        at, _ = self.bpe.prefixes("".join(symbols))
-        out = [at[e] for e in ends]
+        raw = text.encode()
+        at = self.bpe.prefixes(raw.decode("latin-1"))[0][1:]
+        if len(raw) == len(text):
+            out = at
+        else:
+            # Only prefixes that end with a character count.
+            out = [c for c, b in zip(at, raw[1:] + b" ") if b & 0xC0 != 0x80]
         if text in _LONG_CONTRACTIONS:
             out[1] = self.counts(text[0])[0] + self.counts(text[1])[0]
         return out
@@ -91,7 +94,7 @@ class PrefixCounter:
     def deltas(counts: list[int]) -> tuple[int, bytes]:
         if not counts:
             return 0, b""
-        return counts[-1], np.diff(np.array(counts), prepend=0).astype(np.int8).tobytes()
+        return counts[-1], bytes([(b - a) & 255 for a, b in zip([0, *counts], counts)])
 
     def plain(self, text: str) -> list[int]:
         """Tokens of each prefix of any text without special tokens."""
@@ -132,7 +135,7 @@ class PrefixCounter:
                 c, d = self.piece(p)
                 n += c
                 parts.append(d)
-            found = self.words[text] = (n, b"".join(parts))
+            found = self.words[text] = self.pieces[text] if len(parts) == 1 and text in self.pieces else (n, b"".join(parts))
         return found
 
     def table(self, text: str) -> tuple[int, bytes]:
