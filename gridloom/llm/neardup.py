@@ -151,8 +151,6 @@ def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 def verified(pairs: DataFrame, texts: DataFrame, p: MinHash) -> DataFrame:
     """The pairs (a, b) of digests whose sets are similar; ``texts`` has one text for each digest."""
-    wanted = pairs.select(F.col("a").alias("digest")).unionByName(pairs.select("b").toDF("digest")).distinct()
-    texts = texts.join(wanted, "digest", "left_semi")
     with_a = pairs.join(texts.select(F.col("digest").alias("a"), F.col("text").alias("ta")), "a")
     both = with_a.join(texts.select(F.col("digest").alias("b"), F.col("text").alias("tb")), "b").select("a", "ta", "b", F.col("tb").alias("__text"))
     size, percent = p.words, p.percent
@@ -213,8 +211,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     left, right = (rest.select("bucket", *[F.col(c).alias(f"{c}_{s}") for c in ("digest", "n", "component")]) for s in "ab")
     pairs = left.join(right, "bucket").where((F.col("digest_a") < F.col("digest_b")) & (F.col("component_a") != F.col("component_b")) & close_sizes("n_a", "n_b", p))
     pairs = scratch.keep(pairs.select(F.col("digest_a").alias("a"), F.col("digest_b").alias("b")).distinct())
-    more = scratch.keep(verified(pairs, texts, p))
-    if not more.isEmpty():
+    more = scratch.keep(verified(pairs, texts, p)) if not pairs.isEmpty() else None
+    if more is not None and not more.isEmpty():
         linked = components(links.unionByName(more), scratch)
     whole = classes.select("digest", "rep").join(linked.withColumnRenamed("node", "digest"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
     names = whole.groupBy("component").agg(F.min("rep").alias("component_id"))
