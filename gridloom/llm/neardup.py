@@ -9,10 +9,11 @@ that share a bucket are linked if the exact Jaccard similarity of their full
 sets reaches the threshold.
 
 Documents with equal sets are one class, compared once.  In each bucket the
-first class is compared with all others; what these links leave in different
-components is then compared pair by pair, within the bounds that the sizes of
-two sets put on their similarity.  So the work follows the number of classes in
-a bucket that are not linked, not the number of copies.
+class that meets most others is compared with all others.  What these links leave
+in different components is compared pair by pair, but only where a link is still
+possible: two sets have no more in common than either has shingles that occur in
+other components at all, and a copy with many changes has few of these.  So the
+work follows the links that are open, not the size of a group of copies.
 
 Defined results: words are runs of bytes other than ASCII white space, A-Z
 lower-cased; a text with fewer words than a shingle is one shingle; a null or
@@ -177,6 +178,21 @@ def close_sizes(x: str, y: str, p: MinHash):
     return 100 * F.least(x, y) >= p.percent * F.greatest(x, y)
 
 
+def common_counts(rest: DataFrame, texts: DataFrame, p: MinHash) -> DataFrame:
+    """(digest, c): how many of each class's shingles are also in a class of another component of ``rest`` (digest, component).
+
+    No class of another component has more of its shingles than these.
+    """
+
+    def work():
+        return lambda batch: [[shingle_set(t, p.words).view(np.int64) for t in batch]]
+
+    sets = map_texts(rest.join(texts, "digest"), "text", ["digest", "component"], [("shingles", "array<long>")], work)
+    rows = sets.select("digest", "component", F.explode("shingles").alias("shingle"))
+    common = rows.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("shingle")
+    return rows.join(common, "shingle").groupBy("digest").agg(F.count(F.lit(1)).alias("c"))
+
+
 def texts_of(docs: DataFrame, text: str, keys: DataFrame, p: MinHash) -> DataFrame:
     """(digest, text): one text for each row of ``keys`` (digest, key)."""
     few = keys.limit(p.broadcast_keys + 1).count() <= p.broadcast_keys
@@ -195,21 +211,27 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         .agg(F.min("id").alias("rep"), F.min("key").alias("key"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     )
     members = classes.select("digest", "n", F.explode("bands").alias("bucket"))
-    buckets = members.groupBy("bucket").agg(F.min(F.struct("digest", "n")).alias("lead"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    buckets = buckets.select("bucket", F.col("lead.digest").alias("lead"), F.col("lead.n").alias("lead_n"))
-    shared = scratch.keep(members.join(buckets, "bucket"))
+    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    shared = scratch.keep(members.join(sizes, "bucket"))
+    # A bucket is led by its class that meets most others in all of its buckets: the middle of a group of copies.
+    weights = shared.groupBy("digest").agg(F.sum("m").alias("weight"))
+    leads = shared.join(weights, "digest").groupBy("bucket").agg(F.max(F.struct("weight", "digest", "n")).alias("lead"))
+    shared = scratch.keep(shared.join(leads.select("bucket", F.col("lead.digest").alias("lead"), F.col("lead.n").alias("lead_n")), "bucket"))
     texts = scratch.keep(texts_of(named, "text", classes.join(shared.select("digest").distinct(), "digest").select("digest", "key"), p))
     # First the leading class of each bucket against all others of it.
     stars = scratch.keep(shared.where((F.col("digest") != F.col("lead")) & close_sizes("n", "lead_n", p)).select(F.col("lead").alias("a"), F.col("digest").alias("b")).distinct())
     links = scratch.keep(verified(stars, texts, p))
     linked = components(links, scratch)
-    # Then what is left in other components of the same bucket, pair by pair.
+    # Then what is left in other components of the same bucket, where the shingles they have in common allow a link.
     rest = shared.where("digest <> lead").select("digest", "n", "bucket").join(linked.withColumnRenamed("node", "digest"), "digest", "left")
     rest = scratch.keep(rest.withColumn("component", F.coalesce("component", "digest")))
     mixed = rest.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
     rest = scratch.keep(rest.join(mixed, "bucket"))
-    left, right = (rest.select("bucket", *[F.col(c).alias(f"{c}_{s}") for c in ("digest", "n", "component")]) for s in "ab")
-    pairs = left.join(right, "bucket").where((F.col("digest_a") < F.col("digest_b")) & (F.col("component_a") != F.col("component_b")) & close_sizes("n_a", "n_b", p))
+    able = common_counts(rest.select("digest", "component").distinct(), texts, p)
+    rest = scratch.keep(rest.join(able, "digest").where(100 * F.col("c") >= p.percent * F.col("n")))
+    left, right = (rest.select("bucket", *[F.col(c).alias(f"{c}_{s}") for c in ("digest", "n", "component", "c")]) for s in "ab")
+    most = F.least("c_a", "c_b")
+    pairs = left.join(right, "bucket").where((F.col("digest_a") < F.col("digest_b")) & (F.col("component_a") != F.col("component_b")) & (100 * most >= p.percent * (F.col("n_a") + F.col("n_b") - most)))
     pairs = scratch.keep(pairs.select(F.col("digest_a").alias("a"), F.col("digest_b").alias("b")).distinct())
     more = scratch.keep(verified(pairs, texts, p)) if not pairs.isEmpty() else None
     if more is not None and not more.isEmpty():
