@@ -26,16 +26,16 @@ _FLIP = {"<": ">", "<=": ">=", ">": "<", ">=": "<=", "==": "==", "!=": "!="}
 
 @dataclass(frozen=True)
 class Axes:
-    """The space and each dimension's coordinate values (None: its index)."""
+    """The space and each dimension's coordinate values: an array, or a range of whole numbers (None: the index)."""
 
     space: Space
-    values: dict[str, np.ndarray | None]
+    values: dict[str, np.ndarray | range | None]
     #: Dimensions whose coordinates are known to rise; compared by binary search.
     rising: frozenset[str] = frozenset()
 
-    def coords(self, dim: str) -> np.ndarray:
+    def coords(self, dim: str) -> np.ndarray | range:
         found = self.values.get(dim)
-        return np.arange(self.space.sizes[self.space.dims.index(dim)]) if found is None else found
+        return range(self.space.sizes[self.space.dims.index(dim)]) if found is None else found
 
 
 def runs(mask: np.ndarray) -> list[tuple[int, int]]:
@@ -241,7 +241,7 @@ def all_of(items: Iterable[Predicate]) -> Predicate:
 
 
 def when(p: Predicate, then: Predicate, otherwise: Predicate | None = None) -> Predicate:
-    return Predicate(["case", p.tree, then.tree, (otherwise or lit(None)).tree])
+    return Predicate(["case", p.tree, then.tree, (lit(None) if otherwise is None else otherwise).tree])
 
 
 def _name(name: str) -> Column:
@@ -310,28 +310,71 @@ def _regions(t: list, axes: Axes) -> tuple[Region, Region]:
     name = t[2] if kind in ("cmp", "is") else t[1]
     if kind in ("cmp", "in", "is") and name in axes.space.dims:
         values = axes.coords(name)
+        size = len(values)
+        along = lambda found: Region.along(axes.space, name, found).coarsened()
         if kind == "cmp":
             if t[3] is None:
                 return none, none
-            mask = _searched(values, t[1], t[3]) if name in axes.rising else compare(values, t[1], t[3])
+            yes = _holds(values, t[1], t[3], name in axes.rising)
         elif kind == "in":
-            masks = [compare(values, "==", v) for v in t[2] if v is not None]
-            if any(m is None for m in masks):
-                mask = None
-            else:
-                mask = reduce(np.logical_or, masks, np.zeros(len(values), bool))
-                if any(v is None for v in t[2]):
-                    # With a null in the list, what isn't found is null.
-                    return Region.along(axes.space, name, runs(mask)).coarsened(), none
+            each = [_holds(values, "==", v, name in axes.rising) for v in t[2] if v is not None]
+            yes = None if any(e is None for e in each) else merged([r for e in each for r in e])
+            if yes is not None and any(v is None for v in t[2]):
+                # With a null in the list, what isn't found is null.
+                return along(yes), none
         else:
-            nan = np.isnan(values) if values.dtype.kind == "f" else np.zeros(len(values), bool)
-            inf = np.isinf(values) if values.dtype.kind == "f" else np.zeros(len(values), bool)
-            mask = {"null": np.zeros(len(values), bool), "not_null": np.ones(len(values), bool), "nan": nan, "not_nan": ~nan, "infinite": inf, "finite": ~(inf | nan)}[t[1]]
-        if mask is not None:
-            return tuple(Region.along(axes.space, name, runs(m)).coarsened() for m in (mask, ~mask))  # type: ignore[return-value]
+            floats = isinstance(values, np.ndarray) and values.dtype.kind == "f"
+            nan = runs(np.isnan(values)) if floats else []
+            inf = runs(np.isinf(values)) if floats else []
+            all_, odd = [(0, size)], merged(nan + inf)
+            yes = {"null": [], "not_null": all_, "nan": nan, "not_nan": gaps(nan, size), "infinite": inf, "finite": gaps(odd, size)}[t[1]]
+            if isinstance(values, np.ndarray) and values.dtype.kind in "mM" and t[1] in ("null", "not_null"):
+                gone = runs(np.isnat(values))
+                yes = gone if t[1] == "null" else gaps(gone, size)
+        if yes is not None:
+            return along(yes), along(gaps(yes, size))
     return full, full
 
 
+def merged(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ranges in order, without overlaps."""
+    out: list[tuple[int, int]] = []
+    for lo, hi in sorted(found):
+        if out and lo <= out[-1][1]:
+            out[-1] = (out[-1][0], max(hi, out[-1][1]))
+        else:
+            out.append((lo, hi))
+    return out
+
+
+def gaps(found: list[tuple[int, int]], size: int) -> list[tuple[int, int]]:
+    """What ordered ranges leave of 0 to ``size``."""
+    ends = [0, *[x for r in found for x in r], size]
+    return [(lo, hi) for lo, hi in zip(ends[::2], ends[1::2]) if lo < hi]
+
+
+def _holds(values, op: str, value, rising: bool) -> list[tuple[int, int]] | None:
+    """Where a comparison holds, as ranges of indices; None if it can't be told."""
+    if isinstance(values, range):
+        return _range_holds(values, op, value)
+    mask = _searched(values, op, value) if rising else compare(values, op, value)
+    return None if mask is None else runs(mask)
+
+
+def _range_holds(values: range, op: str, value) -> list[tuple[int, int]] | None:
+    """As compare, by arithmetic over consecutive whole numbers."""
+    if not isinstance(value, (int, float, np.integer, np.floating)) or isinstance(value, bool):
+        return None
+    n, start = len(values), values.start
+    if isinstance(value, float) and not math.isfinite(value):
+        above = not value < 0
+        return {"<": above, "<=": above, ">": not above, ">=": not above, "==": False, "!=": True}[op] and [(0, n)] or []
+    below = min(max(math.ceil(value) - start, 0), n)
+    upto = min(max(math.floor(value) + 1 - start, 0), n)
+    found = {"<": [(0, below)], "<=": [(0, upto)], ">": [(upto, n)], ">=": [(below, n)], "==": [(below, upto)], "!=": [(0, below), (upto, n)]}[op]
+    return [(lo, hi) for lo, hi in found if lo < hi]
+
+
 def _searched(values: np.ndarray, op: str, value) -> np.ndarray | None:
     """As compare, by binary search in rising coordinates."""
     v = literal(value, values)

@@ -31,14 +31,15 @@ class TableGrid:
         ends = df.agg(*[f(c).alias(f"{c}_{n}") for c in chunks for n, f in (("lo", F.min), ("hi", F.max))]).first()
         return cls(df, {c: Axis(ends[f"{c}_lo"], ends[f"{c}_hi"] - ends[f"{c}_lo"] + 1, n) for c, n in chunks.items()})
 
-    def plan(self, where: Predicate) -> dict[tuple[int, ...], tuple]:
-        """Chunks that hold cells where the predicate may be true."""
-        import numpy as np
-
+    def region(self, where: Predicate) -> Region:
+        """Cells where the predicate may be true."""
         space = Space(tuple(self.axes), tuple(a.size for a in self.axes.values()))
-        values = {d: np.arange(a.origin, a.origin + a.size) for d, a in self.axes.items()}
-        region = where.regions(Axes(space, values, frozenset(self.axes)))[0]
-        return ChunkGrid(space.dims, space.sizes, tuple(a.chunk for a in self.axes.values())).select(region)
+        return where.regions(Axes(space, {d: range(a.origin, a.origin + a.size) for d, a in self.axes.items()}))[0]
+
+    def plan(self, where: Predicate) -> dict[tuple[int, ...], tuple]:
+        """Chunks that hold such cells."""
+        region = self.region(where)
+        return ChunkGrid(region.space.dims, region.space.sizes, tuple(a.chunk for a in self.axes.values())).select(region)
 
     def explain(self, where: Predicate) -> DataFrame:
         """One row for each planned chunk: ``<dim>_chunk`` columns."""
@@ -47,7 +48,7 @@ class TableGrid:
 
     def scan(self, where: Predicate, columns: list[str] | None = None) -> DataFrame:
         """The rows where the predicate holds; the planned bounds of each key are filters that reach the files."""
-        boxes = self.plan(where).values()
+        boxes = self.region(where).boxes
         df = self.df
         for i, (d, a) in enumerate(self.axes.items()):
             if not boxes:
