@@ -46,15 +46,14 @@ class Model:
     #: Nodes and words seen less than once in 2**share_bits symbols or tokens aren't broadcast.
     share_bits: int = 18
     #: Words a worker remembers the score of, and entries a task counts before it hands them on.
-    memo: int = 300_000
+    memo: int = 600_000
 
 
-def nodes_of(word: bytes, order: int) -> Iterator[bytes]:
-    """The nodes that a word passes: each of its contexts with the byte that follows."""
+def longest_nodes(word: bytes, order: int) -> Iterator[bytes]:
+    """For each byte of a word, its longest context with the byte; the shorter contexts' nodes are the ends of these."""
     s = b"\n" + word + b" "
     for i in range(1, len(s)):
-        for j in range(max(0, i - order), i + 1):
-            yield s[j : i + 1]
+        yield s[max(0, i - order) : i + 1]
 
 
 class Trie:
@@ -63,15 +62,15 @@ class Trie:
     def __init__(self, contexts: dict[bytes, tuple[int, dict[int, int]]], order: int, memo: int):
         self.contexts, self.order, self.limit = contexts, order, memo
         self.words: dict[bytes, float] = {}
-        self.coded: dict[tuple[bytes, int], float] = {}
+        self.coded: dict[bytes, float] = {}
 
-    def symbol(self, context: bytes, symbol: int) -> float:
-        """log10 of the probability of a symbol after a context of up to ``order`` bytes."""
-        found = self.coded.get((context, symbol))
+    def symbol(self, node: bytes) -> float:
+        """log10 of the probability of a node's last byte after the context before it."""
+        found = self.coded.get(node)
         if found is None:
             if len(self.coded) >= self.limit:
                 self.coded.clear()
-            found = self.coded[context, symbol] = self._symbol(context, symbol)
+            found = self.coded[node] = self._symbol(node[:-1], node[-1])
         return found
 
     def _symbol(self, context: bytes, symbol: int) -> float:
@@ -100,16 +99,16 @@ class Trie:
             order, known, s = self.order, self.coded.get, b"\n" + word + b" "
             found = 0.0
             for i in range(1, len(s)):
-                c = s[max(0, i - order) : i]
-                p = known((c, s[i]))
-                found += self.symbol(c, s[i]) if p is None else p
+                node = s[i - order if i > order else 0 : i + 1]
+                p = known(node)
+                found += self.symbol(node) if p is None else p
             if len(self.words) >= self.limit:
                 self.words.clear()
             self.words[word] = found
         return found
 
     def end(self) -> float:
-        return self.symbol(b"\n", MARK)
+        return self.symbol(bytes([0x0A, MARK]))
 
 
 def _counted(df: DataFrame, column: str, limit: int, count) -> DataFrame:
@@ -159,10 +158,12 @@ def score(docs: DataFrame, trains: Column, doc_id: str = "doc_id", text: str = "
 
     def count_nodes(found: Counter, part: pa.RecordBatch, values: list[bytes]) -> None:
         for word, n in zip(values, part.column("n").to_pylist()):
-            for node in nodes_of(word, order):
+            for node in longest_nodes(word, order):
                 found[node] += n
 
-    nodes = _counted(words.select("item", "n"), "item", model.memo, count_nodes)
+    longest = _counted(words.select("item", "n"), "item", model.memo, count_nodes)
+    ends_of = F.transform(F.sequence(F.lit(1), F.octet_length("item")), lambda i: F.substring("item", i, F.octet_length("item")))
+    nodes = longest.select(F.explode(ends_of).alias("item"), "n").groupBy("item").agg(F.sum("n").alias("n"))
     least = max(1, math.ceil(symbols / (1 << model.share_bits)))
     size = F.octet_length("item")
     kept = F.when(F.col("n") >= least, F.struct(F.substring("item", size, F.lit(1)).alias("symbol"), "n"))
