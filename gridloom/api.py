@@ -14,6 +14,7 @@ from .plans import predicate as P
 from .plans.scan import plan
 from .sources.datasource import INDEX, GridDataSource, leaf_schema, settings
 from .sources.meta import UnknownName, load
+from .sources.versions import resolve
 
 
 def register(spark: SparkSession) -> None:
@@ -34,9 +35,12 @@ def scan(spark: SparkSession, path: str, columns: Iterable[str] | None = None, w
 
     ``columns`` (dimensions, variables, groups, ``group.variable``) and ``where`` decide
     what is read; rows are filtered by ``where`` exactly.  Variables on other grids are
-    joined on the indices of shared dimensions.
+    joined on the indices of shared dimensions.  ``version`` names a branch or snapshot
+    of a versioned store.
     """
     register(spark)
+    if "version" in options:
+        path = resolve(path, options.pop("version"))
     where = _where(spark, where)
     config = settings(options)
     meta = load(path, decode_timedelta=config["decode_timedelta"])
@@ -109,6 +113,13 @@ def iter_batches(df: DataFrame, batch_size: int = 50_000, n_rows: int | None = N
         yield pd.DataFrame(held, columns=df.columns)
 
 
+async def collect_async(df: DataFrame):
+    """The rows as a pandas frame, without blocking the event loop: the job runs in a thread."""
+    import asyncio
+
+    return await asyncio.to_thread(df.toPandas)
+
+
 def explain_json(path: str) -> str:
     """A summary of a store's metadata."""
     meta = load(path)

@@ -63,3 +63,27 @@ def var(c: Column, ddof: int = 1) -> Column:
     if ddof in (0, 1):
         return F.var_samp(c) if ddof else F.var_pop(c)
     return F.when(F.count(c) > ddof, F.var_pop(c) * F.count(c) / (F.count(c) - ddof))
+
+
+def any_true(c: Column) -> Column:
+    """Whether some value is true; false where there are none."""
+    return F.coalesce(F.bool_or(c), F.lit(False))
+
+
+def all_true(c: Column) -> Column:
+    """Whether no value is false; true where there are none."""
+    return F.coalesce(F.bool_and(c), F.lit(True))
+
+
+def has_nulls(c: Column) -> Column:
+    return F.count_if(c.isNull()) > 0
+
+
+def is_empty() -> Column:
+    return F.count(F.lit(1)) == 0
+
+
+def is_sorted(c: Column, *order: str) -> Column:
+    """Whether the values never fall in the order of other columns (lists: within a group that fits a row)."""
+    values = implode(c, *order)
+    return F.size(F.filter(values, lambda x, i: (i > 0) & (x < F.get(values, i - 1)))) == 0

@@ -3,20 +3,27 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
+from functools import lru_cache
 
+import numpy as np
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import api
 from .functions import lists, selectors
 from .operators import aggregates as A
 from .operators import windows as W
 from .operators.combine import Part, combine, diagonal_concat, grid_join, struct_wrap
 from .operators.interp import interpolate_geospatial, interpolate_nd
 from .plans.predicate import all_of, any_of, col, from_sql, lit, when
+from .sources.stores import scratch_url
 from .sources.table_grid import Axis, TableGrid
+from .sources.versions import commit
+from .sources.writer import PLAIN, GridWriter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -481,3 +488,102 @@ def event_grid(spark, d):
     """Events as a grid of (user, hour), with a running total."""
     cells = t(spark, d, "events").groupBy("user_id", F.hour("ts").alias("hour")).agg(F.sum("value").alias("total"))
     return cells.select("user_id", "hour", F.round("total", 4).alias("total"), F.round(F.sum("total").over(Window.partitionBy("user_id").orderBy("hour")), 4).alias("running"))
+
+
+@query("SELECT l_returnflag, bool_or(l_quantity > 49) AS any_big, bool_and(l_quantity > 0) AS all_pos, count(*) FILTER (l_tax IS NULL) > 0 AS nulls, count(*) = 0 AS nothing FROM lineitem GROUP BY 1")
+def agg_bool(spark, d):
+    q = F.col("l_quantity")
+    return t(spark, d, "lineitem").groupBy("l_returnflag").agg(A.any_true(q > 49).alias("any_big"), A.all_true(q > 0).alias("all_pos"), A.has_nulls(F.col("l_tax")).alias("nulls"), A.is_empty().alias("nothing"))
+
+
+@query("SELECT l_orderkey, list_sum(list_transform(list(l_quantity), lambda x: x * 2)) AS doubled, count(*) AS n FROM lineitem GROUP BY 1")
+def list_eval(spark, d):
+    rows = t(spark, d, "lineitem").groupBy("l_orderkey").agg(A.implode(F.col("l_quantity"), "l_linenumber", "l_partkey").alias("q"))
+    return rows.select("l_orderkey", F.aggregate(F.transform("q", lambda x: x * 2), F.lit(0.0), lambda a, x: a + x).alias("doubled"), F.size("q").cast("long").alias("n"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_quantity FROM lineitem ORDER BY l_quantity DESC, l_orderkey, l_linenumber, l_partkey LIMIT 50")
+def sort_by_top_k(spark, d):
+    order = [F.desc("l_quantity"), "l_orderkey", "l_linenumber", "l_partkey"]
+    return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity").orderBy(*order).limit(50)
+
+
+# Stores: the same arrays, written once for a session, are scanned in several ways.
+
+
+def _arrays(w: GridWriter) -> None:
+    """time x lead x y (x), with packed, sharded, text and grouped variables and two chunk layouts."""
+    time, lead, y, x = 4, 3, 10, 12
+    w.array("time", np.arange(time) * 6, ["time"], attrs={"units": "hours since 2024-01-01"})
+    w.array("lead", np.arange(lead), ["lead"], attrs={"units": "hours"})
+    w.array("y", np.arange(y) * 0.5, ["y"])
+    w.array("x", np.arange(x)[::-1] * 10, ["x"], (5,))
+    cells = np.arange(time * lead * y * x, dtype="f8").reshape(time, lead, y, x)
+    w.array("temperature", cells, ["time", "lead", "y", "x"], (2, 2, 4, 5), attrs={"coordinates": "lat"})
+    w.array("precipitation", cells.astype("i4"), ["time", "lead", "y", "x"], (1, 3, 5, 4), (2, 3, 10, 8), [*PLAIN, {"name": "zstd"}, {"name": "crc32c"}], attrs={"scale_factor": 0.25, "add_offset": 1.0, "_FillValue": 7})
+    w.array("surface", cells[0, 0] * 2, ["y", "x"], (3, 7), codecs=[{"name": "transpose", "configuration": {"order": [1, 0]}}, *PLAIN, {"name": "gzip"}])
+    w.array("lat", cells[0, 0] / 4, ["y", "x"], (4, 5))
+    w.group("soil")
+    w.array("soil/depth", np.arange(y, dtype="f4") / 2, ["y"])
+    w.group("soil/deep")
+    w.array("soil/deep/name", np.array([f"layer {i}" for i in range(y)], object), ["y"], (4,))
+    w.consolidate()
+
+
+@lru_cache(maxsize=4)
+def _store(root: str) -> str:
+    url = f"{root}/gridloom-store-{uuid.uuid4().hex}"
+    commit(url, _arrays)
+    return url
+
+
+_CELLS = """
+WITH c AS (
+  SELECT TIMESTAMP '2024-01-01' + INTERVAL 1 HOUR * (6 * i) AS "time", j, k * 0.5 AS y, (11 - l) * 10 AS x, i, l, k,
+         (((i * 3 + j) * 10 + k) * 12 + l)::DOUBLE AS v, (k * 12 + l)::DOUBLE AS s
+  FROM range(4) a(i), range(3) b(j), range(10) e(k), range(12) f(l))
+"""
+
+
+def _scan(spark, columns, where=None):
+    return api.scan(spark, _store(scratch_url(spark)), columns, where, version="main")
+
+
+@query(_CELLS + 'SELECT "time", y::DOUBLE AS y, x::BIGINT AS x, v AS temperature FROM c WHERE "time" >= TIMESTAMP \'2024-01-01 12:00\' AND j = 1 AND y BETWEEN 1 AND 3 AND NOT (x > 30 AND x < 90)')
+def store_box(spark, d):
+    where = (col("time") >= dt.datetime(2024, 1, 1, 12)) & (col("lead") == dt.timedelta(hours=1)) & col("y").between(1, 3) & ~((col("x") > 30) & (col("x") < 90))
+    return _scan(spark, ["time", "y", "x", "temperature"], where)
+
+
+@query(_CELLS + "SELECT i::BIGINT AS i, j::BIGINT AS j, y::DOUBLE AS y, x::BIGINT AS x, v AS temperature, CASE WHEN v = 7 THEN NULL ELSE v * 0.25 + 1 END AS precipitation, s * 2 AS surface, s / 4 AS lat FROM c WHERE x < 50")
+def store_mixed_grids(spark, d):
+    """Variables of two chunk layouts and of lower rank, joined on shared dimensions."""
+    df = _scan(spark, ["time", "lead", "y", "x", "temperature", "precipitation", "surface", "lat"], col("x") < 50)
+    hours = lambda c: F.floor(c / 3600).cast("long")
+    i = hours(F.unix_micros(F.col("time").cast("timestamp")) / 1e6 - F.unix_micros(F.lit("2024-01-01 00:00:00").cast("timestamp")) / 1e6) / 6
+    j = F.extract(F.lit("HOUR"), F.col("lead")).cast("long")
+    rain = F.when(~F.isnan("precipitation"), F.col("precipitation"))
+    return df.select(i.cast("long").alias("i"), j.alias("j"), "y", "x", "temperature", rain.alias("precipitation"), "surface", "lat")
+
+
+@query("SELECT k * 0.5::DOUBLE AS y, (k / 2.0)::DOUBLE AS depth, 'layer ' || k AS name FROM range(10) e(k) WHERE k >= 4")
+def store_groups(spark, d):
+    """Groups are structs; a predicate goes into them."""
+    df = _scan(spark, ["y", "soil"], col("soil").field("depth") >= 2.0)
+    return df.select("y", F.col("soil.depth").cast("double").alias("depth"), F.col("soil.deep.name").alias("name")).distinct()
+
+
+@query(_CELLS + "SELECT DISTINCT i // 2 AS time_chunk, k // 4 AS y_chunk, l // 5 AS x_chunk FROM c WHERE (\"time\" = TIMESTAMP '2024-01-01 18:00' OR x = 110) AND y < 2")
+def store_chunks(spark, d):
+    """The planned chunks of one variable, without its lead dimension."""
+    from .sources.versions import resolve
+
+    path = resolve(_store(scratch_url(spark)), "main")
+    plan = api.explain_chunks(spark, path, ((col("time") == dt.datetime(2024, 1, 1, 18)) | (col("x") == 110)) & (col("y") < 2), ["temperature"])
+    return plan.select(F.get("indices", F.lit(0)).alias("time_chunk"), F.get("indices", F.lit(2)).alias("y_chunk"), F.get("indices", F.lit(3)).alias("x_chunk")).distinct()
+
+
+@query(_CELLS + "SELECT count(*) AS n, sum(v) AS total FROM c WHERE v > 700 OR y = 4.5")
+def store_unplanned(spark, d):
+    """What can't be planned is filtered all the same, also under OR."""
+    return _scan(spark, ["temperature"], "temperature > 700 OR y = 4.5").agg(F.count("*").alias("n"), F.sum("temperature").alias("total"))

@@ -126,3 +126,10 @@ def open_store(url: str) -> Store:
     if scheme == "file":
         return LocalStore(url.removeprefix("file://"))
     return HttpStore(url) if scheme in ("http", "https") else ArrowStore(url)
+
+
+def scratch_url(spark) -> str:
+    """A folder that all executors share: ``spark.checkpoint.dir``, or a local one where it is unset."""
+    import tempfile
+
+    return (spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/gridloom-scratch").rstrip("/")
