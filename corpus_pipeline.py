@@ -14,18 +14,22 @@ from gridloom.llm import decontam, lines, neardup, pieces, quality
 from gridloom.llm.common import Scratch
 
 
+def _carried(docs: DataFrame, *columns: str) -> DataFrame:
+    """The columns an operator reads, and the whole row as ``row``, so that no name in it can clash."""
+    return docs.select(*[docs[f"`{c}`"] for c in columns], F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither their own rules nor their host's verdict reject."""
-    columns = docs.columns
-    return quality.judge(docs).where("kept").select(*columns)
+    return quality.judge(_carried(docs, "text", "source"), keep=["row"]).where("kept").select("row.*")
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later repeats of lines go, and documents of which nothing but white space is left."""
-    columns = docs.columns
-    cut = lines.dedup_lines(docs)
+    cut = lines.dedup_lines(_carried(docs, "doc_id", "text"))
     gone = (F.col("n_removed") > 0) & (F.length(F.regexp_replace("text", r"[\x20\x09-\x0D]+", "")) == 0)
-    return cut.where(~gone).withColumn("n_chars", F.length("text").cast("long")).select(*columns)
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return cut.where(~gone).select(*[(new[c] if c in new else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

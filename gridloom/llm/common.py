@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,7 +61,7 @@ def text_blocks(batch: pa.RecordBatch, text: str) -> Iterator[tuple[pa.RecordBat
     """Slices of a batch, each with its texts as bytes and about BLOCK_BYTES of them."""
     column = batch.column(text)
     column = column.cast(pa.large_binary()) if pa.types.is_large_string(column.type) else column.cast(pa.binary())
-    sizes = pa.compute.fill_null(pa.compute.binary_length(column), 0).to_pylist()
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
     start = held = 0
     for i, size in enumerate(sizes):
         if held and held + size > BLOCK_BYTES:
@@ -94,8 +95,6 @@ def map_texts(
     arrow = to_arrow_schema(new)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.compute  # noqa: F401
-
         f = work()
         for batch in batches:
             for part, texts in text_blocks(batch, "__text"):

@@ -246,10 +246,19 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", p: MinHash = MinHash()) -> DataFrame:
-    """The kept documents, with all their columns."""
-    gone = near_duplicates(docs, doc_id, text, p).where("not kept").select(F.col("key").alias("__gone")).distinct()
-    few = gone.limit(p.broadcast_keys + 1).count() <= p.broadcast_keys
-    return docs.join(F.broadcast(gone) if few else gone, row_key(doc_id, text) == F.col("__gone"), "left_anti")
+    """One document of each group, with all its columns; of rows with equal ids and texts one stays."""
+    judged = near_duplicates(docs, doc_id, text, p).select(F.col("key").alias("__key"), "kept")
+
+    def keyed(keys: DataFrame, how: str) -> DataFrame:
+        few = keys.limit(p.broadcast_keys + 1).count() <= p.broadcast_keys
+        return docs.join(F.broadcast(keys) if few else keys, row_key(doc_id, text) == F.col("__key"), how)
+
+    gone = judged.where("not kept").select("__key").distinct()
+    again = judged.where("kept").groupBy("__key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__key")
+    if again.isEmpty():
+        return keyed(gone, "left_anti")
+    once = keyed(again, "inner").dropDuplicates(["__key"]).drop("__key")
+    return keyed(gone.unionByName(again), "left_anti").unionByName(once)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

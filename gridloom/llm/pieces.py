@@ -29,6 +29,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -293,7 +294,7 @@ def decode(encoded: DataFrame, path: str, keep: list[str] | None = None, pieces:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
                 ids = part.column("__ids")
-                flat, ends = ids.flatten().to_numpy(zero_copy_only=False).tolist(), np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(ids), 0).to_numpy(zero_copy_only=False)).tolist()
+                flat, ends = ids.flatten().to_numpy(zero_copy_only=False).tolist(), np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)).tolist()
                 texts, at = [], 0
                 for end, there in zip(ends, ids.is_valid().to_pylist()):
                     texts.append(f(flat[at:end]) if there else None)

@@ -34,3 +34,19 @@ def test_pipeline(spark, tmp_path):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         now = stage(spark, now, str(tmp_path))
         assert now.columns == docs.columns, name
+
+
+def test_stages_take_any_rows(spark, tmp_path):
+    """Nulls in any column, empty and long texts, repeated rows, clashing names, empty tables."""
+    good = " ".join(f"w{i}" for i in range(70))
+    rows = [(1, good, "en", "s", 5), (1, good, "en", "s", 5), (None, None, None, None, None), (2, "", None, "s", None), (None, good + " x", "en", None, 1), (3, good.upper() + " y" * 20000, None, None, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.selectExpr("*", "'a' as kept", "'b' as n_words", "'c' as row", "'d' as n_lines", "'e' as key", "'f' as id", "'g' as k", "'h' as words", "'i' as item", "'j' as digest", "'k' as pieces")
+    spark.createDataFrame([(0, None), (None, good[-60:]), (1, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        got = out.collect()
+        if name != "sentencepiece":
+            assert out.columns == docs.columns and all((r.kept, r.n_words, r.row, r.n_lines) == ("a", "b", "c", "d") for r in got), name
+        assert len(got) == {"quality_rules": 3, "line_dedup": 4, "minhash_near_dedup": 3, "benchmark_decontamination": 2, "sentencepiece": 6}[name], name
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
