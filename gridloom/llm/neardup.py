@@ -200,6 +200,30 @@ def texts_of(docs: DataFrame, text: str, keys: DataFrame, p: MinHash) -> DataFra
     return found.select("digest", "text").dropDuplicates(["digest"])
 
 
+def _mixed(members: DataFrame, linked: DataFrame) -> DataFrame:
+    """Members (digest, bucket, ...) with their component, of the buckets that hold several components."""
+    named = members.join(linked.withColumnRenamed("node", "digest"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
+    mixed = named.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
+    return named.join(mixed, "bucket")
+
+
+def _open(left: DataFrame, rest: DataFrame, p: MinHash) -> DataFrame:
+    """Pairs (a, b) of a bucket in different components that may still be similar."""
+    right = rest.select("bucket", *[F.col(c).alias(f"{c}_b") for c in ("digest", "component", "n", "c")])
+    most = F.least("c_a", "c_b")
+    near = (F.col("component_a") != F.col("component_b")) & (100 * most >= p.percent * (F.col("n_a") + F.col("n_b") - most))
+    return left.join(right, "bucket").where(near).select(F.col("digest_a").alias("a"), F.col("digest_b").alias("b"))
+
+
+def _linked(links: DataFrame, linked: DataFrame, pairs: DataFrame, texts: DataFrame, p: MinHash, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Links and components with those of the pairs that are similar."""
+    pairs = scratch.keep(pairs.distinct())
+    if pairs.isEmpty():
+        return links, linked
+    links = scratch.keep(links.unionByName(verified(pairs, texts, p)))
+    return links, components(links, scratch)
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", p: MinHash = MinHash()) -> DataFrame:
     """One row for each document: key, doc_id, n_shingles, component_id and kept."""
     scratch = Scratch(docs.sparkSession, "neardup")
@@ -222,24 +246,22 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     stars = scratch.keep(shared.where((F.col("digest") != F.col("lead")) & close_sizes("n", "lead_n", p)).select(F.col("lead").alias("a"), F.col("digest").alias("b")).distinct())
     links = scratch.keep(verified(stars, texts, p))
     linked = components(links, scratch)
-    # Then what is left in other components of the same bucket, where the shingles they have in common allow a link.
-    rest = shared.where("digest <> lead").select("digest", "n", "bucket").join(linked.withColumnRenamed("node", "digest"), "digest", "left")
-    rest = scratch.keep(rest.withColumn("component", F.coalesce("component", "digest")))
-    mixed = rest.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
-    rest = scratch.keep(rest.join(mixed, "bucket"))
+    # What is left in other components of the same bucket, where the shingles they have in common allow a link.
+    rest = scratch.keep(_mixed(shared.where("digest <> lead").select("digest", "n", "bucket"), linked))
     able = common_counts(rest.select("digest", "component").distinct(), texts, p)
     rest = scratch.keep(rest.join(able, "digest").where(100 * F.col("c") >= p.percent * F.col("n")))
-    left, right = (rest.select("bucket", *[F.col(c).alias(f"{c}_{s}") for c in ("digest", "n", "component", "c")]) for s in "ab")
-    most = F.least("c_a", "c_b")
-    pairs = left.join(right, "bucket").where((F.col("digest_a") < F.col("digest_b")) & (F.col("component_a") != F.col("component_b")) & (100 * most >= p.percent * (F.col("n_a") + F.col("n_b") - most)))
-    pairs = scratch.keep(pairs.select(F.col("digest_a").alias("a"), F.col("digest_b").alias("b")).distinct())
-    more = scratch.keep(verified(pairs, texts, p)) if not pairs.isEmpty() else None
-    if more is not None and not more.isEmpty():
-        linked = components(links.unionByName(more), scratch)
+    # Again one class against all others of a bucket, now the one with the smallest share of shingles of its own.
+    middles = rest.groupBy("bucket").agg(F.max(F.struct((F.col("c") / F.col("n")).alias("share"), "digest", "component", "n", "c")).alias("m"))
+    middles = middles.select("bucket", *[F.col(f"m.{c}").alias(f"{c}_a") for c in ("digest", "component", "n", "c")])
+    links, linked = _linked(links, linked, _open(middles, rest, p).select("a", "b"), texts, p, scratch)
+    # And what is still open, pair by pair; common shingles only get fewer as components grow.
+    rest = scratch.keep(_mixed(rest.drop("component"), linked))
+    left = rest.select("bucket", *[F.col(c).alias(f"{c}_a") for c in ("digest", "component", "n", "c")])
+    links, linked = _linked(links, linked, _open(left, rest, p).where("a < b").select("a", "b"), texts, p, scratch)
     whole = classes.select("digest", "rep").join(linked.withColumnRenamed("node", "digest"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
     names = whole.groupBy("component").agg(F.min("rep").alias("component_id"))
     verdicts = scratch.keep(whole.join(names, "component").select("digest", "component_id"))
-    scratch.drop(shared, texts, stars, rest, pairs, classes)
+    scratch.drop(texts, stars)
     own = signed.select("id", "key", "n_shingles", "digest").join(verdicts, "digest", "left")
     own = own.withColumn("component_id", F.when(F.col("digest").isNull(), F.col("id")).otherwise(F.col("component_id")))
     return own.select("key", F.col("id").alias(doc_id), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -42,6 +42,12 @@ def corpus():
             for _ in range(rng.choice([0, 0, 1, 1, 2, 3])):
                 copy[rng.randrange(len(copy))] = word()
             rows.append((rng.randrange(10_000), " ".join(copy).title() if rng.random() < 0.3 else "\t".join(copy), "s"))
+    middle = [word() for _ in range(150)]
+    for i in range(60):
+        copy = list(middle)
+        for at in rng.sample(range(150), i % 7):
+            copy[at] = word() + str(i)
+        rows.append((20_000 + i, " ".join(copy), "s"))
     rows += [(rows[0][0], rows[0][1], "s"), (77, None, None), (78, "", "s"), (79, " \n ", "s"), (None, rows[5][1], "s"), (80, "one", "s"), (81, "ONE", "s"), (82, "x y z w v " * 3000, "s")]
     return rows
 
