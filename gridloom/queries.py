@@ -282,7 +282,7 @@ def cf_time_decode(spark, d):
     return orders.select("o_orderkey", lists.decode_time(F.col("raw"), 1).alias("decoded"))
 
 
-@query("SELECT p_partkey, round(round(p_retailprice * 100)::BIGINT * 0.01 + 5.0, 6) AS price FROM part")
+@query("SELECT p_partkey, round(round(p_retailprice * 100)::BIGINT * 0.01::DOUBLE + 5.0::DOUBLE, 6) AS price FROM part")
 def cf_scale_offset(spark, d):
     packed = t(spark, d, "part").select("p_partkey", F.round(F.col("p_retailprice") * 100).cast("long").alias("raw"))
     return packed.select("p_partkey", F.round(lists.decode_packed(F.col("raw"), 0.01, 5.0, -1), 6).alias("price"))
@@ -309,10 +309,10 @@ def agg_n_unique(spark, d):
     return events.groupBy("event_type").agg(A.n_unique(F.col("v")).alias("n"))
 
 
-@query("SELECT l_orderkey, arg_min(v, l_linenumber::BIGINT * 100000000000000 + l_partkey * 1000000 + l_suppkey) FILTER (v IS NOT NULL) AS first_v, arg_max(v, l_linenumber::BIGINT * 100000000000000 + l_partkey * 1000000 + l_suppkey) FILTER (v IS NOT NULL) AS last_v FROM (SELECT *, CASE WHEN l_quantity > 5 THEN l_quantity END AS v FROM lineitem) GROUP BY 1")
+@query("SELECT l_orderkey, first(v ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, v) FILTER (v IS NOT NULL) AS first_v, last(v ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, v) FILTER (v IS NOT NULL) AS last_v FROM (SELECT *, CASE WHEN l_quantity > 5 THEN l_quantity END AS v FROM lineitem) GROUP BY 1")
 def agg_first_last(spark, d):
     v = F.when(F.col("l_quantity") > 5, F.col("l_quantity"))
-    order = ("l_linenumber", "l_partkey", "l_suppkey")
+    order = ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
     return t(spark, d, "lineitem").groupBy("l_orderkey").agg(A.first_non_null_by(v, *order).alias("first_v"), A.last_non_null_by(v, *order).alias("last_v"))
 
 
@@ -333,8 +333,8 @@ def agg_item(spark, d):
 
 # Windows.
 
-_W = "PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey"
-_BY, _ORDER = ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey"]
+_W = "PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity"
+_BY, _ORDER = ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"]
 
 
 def _win(spark, d, **cols):
@@ -372,7 +372,7 @@ def win_shift_diff(spark, d):
     return _win(spark, d, before=W.shift(q, 1, _BY, _ORDER), after=W.shift(q, -1, _BY, _ORDER), change=W.diff(q, 1, _BY, _ORDER))
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey, count(*) OVER (PARTITION BY l_partkey, l_suppkey) = 1 AS uniq, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) = 1 AS first_of FROM lineitem")
+@query("SELECT l_orderkey, l_linenumber, l_partkey, count(*) OVER (PARTITION BY l_partkey, l_suppkey) = 1 AS uniq, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) = 1 AS first_of FROM lineitem")
 def win_unique_first(spark, d):
     return _win(spark, d, uniq=W.is_unique("l_partkey", "l_suppkey"), first_of=W.is_first_distinct(["l_returnflag"], ["l_orderkey", *_ORDER]))
 
