@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 #: Entries of a worker's memo tables, which are emptied when full (they only save time).
-MEMO = 500_000
+MEMO = 400_000
 
 
 class PairAutomaton:

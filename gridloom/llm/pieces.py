@@ -34,13 +34,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import MEMO, PairAutomaton
+from .bpe import PairAutomaton
 from .common import map_texts
 
 #: Fixed values of the model format: the space mark, kinds of pieces and of models.
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
+#: Words whose paths a worker remembers; the memory is emptied when full.
+MEMO = 250_000
 #: Fixed value: what the unknown piece decodes to where a model names nothing else.
 UNKNOWN_SIGN = " ⁇ "
 #: Fixed value: how much less than the lowest score an unknown character counts in unigram models.
@@ -264,22 +266,27 @@ def transducer(path: str) -> Transducer:
     return Transducer(path)
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns with ``pieces``, the ids of each text."""
+def encode(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None = None, decoded: bool = False) -> DataFrame:
+    """``keep`` columns with ``pieces``, the ids of each text; with ``decoded``, also the text that these decode to.
+
+    One pass does both, so a core needs one Python worker with one table of words.
+    """
 
     def work():
-        f = transducer(path).encode
+        both = transducer(path)
 
         def run(texts):
-            ids = [f(t.decode("utf-8", "replace")) if t else [] for t in texts]
+            ids = [both.encode(t.decode("utf-8", "replace")) if t else [] for t in texts]
             offsets = np.zeros(len(ids) + 1, np.int32)
             np.cumsum([len(x) for x in ids], out=offsets[1:])
             flat = np.fromiter((i for x in ids for i in x), np.int32, int(offsets[-1]))
-            return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
+            out = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
+            return [*out, [both.decode(x) for x in ids]] if decoded else out
 
         return run
 
-    return map_texts(docs, text, docs.columns if keep is None else keep, [("pieces", "array<int>")], work)
+    fields = [("pieces", "array<int>"), ("decoded", "string")][: 1 + decoded]
+    return map_texts(docs, text, docs.columns if keep is None else keep, fields, work)
 
 
 def decode(encoded: DataFrame, path: str, keep: list[str] | None = None, pieces: str = "pieces") -> DataFrame:
@@ -310,7 +317,7 @@ def query(spark, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("piece_bpe_32k.model")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     docs = docs.select("doc_id", "text", F.md5(F.coalesce("text", F.lit(""))).alias("of_text"))
-    back = decode(encode(docs, path, keep=["doc_id", "of_text"]), path, keep=["doc_id", "of_text", "pieces"])
+    back = encode(docs, path, keep=["doc_id", "of_text"], decoded=True)
     return back.select(
         "doc_id",
         F.size("pieces").cast("long").alias("n_pieces"),

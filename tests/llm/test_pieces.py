@@ -73,7 +73,8 @@ def test_frames(spark, empty):
         assert pieces.decode(pieces.encode(df.limit(0), PATH), PATH).count() == 0
         return
     out = pieces.decode(pieces.encode(df, PATH), PATH).collect()
-    assert len(out) == 5
+    once = pieces.encode(df, PATH, decoded=True).collect()
+    assert len(out) == 5 and sorted((r.pieces, r.decoded) for r in once) == sorted((r.pieces, r.decoded) for r in out)
     for r in out:
         assert list(r.pieces) == ref.encode(r.text or "") and r.decoded == (r.text or "")
 
