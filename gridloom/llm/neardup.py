@@ -207,11 +207,13 @@ def _mixed(members: DataFrame, linked: DataFrame) -> DataFrame:
     return named.join(mixed, "bucket")
 
 
-def _open(left: DataFrame, rest: DataFrame, p: MinHash) -> DataFrame:
-    """Pairs (a, b) of a bucket in different components that may still be similar."""
-    right = rest.select("bucket", *[F.col(c).alias(f"{c}_b") for c in ("digest", "component", "n", "c")])
+def _open(left: DataFrame, rest: DataFrame, p: MinHash, once: bool = False) -> DataFrame:
+    """Pairs (a, b) of a bucket in different components that may still be similar; with ``once``, a < b from their first shared bucket."""
+    right = rest.select("bucket", *[F.col(c).alias(f"{c}_b") for c in ("digest", "component", "n", "c", *["bands"] * once)])
     most = F.least("c_a", "c_b")
     near = (F.col("component_a") != F.col("component_b")) & (100 * most >= p.percent * (F.col("n_a") + F.col("n_b") - most))
+    if once:
+        near = (F.col("digest_a") < F.col("digest_b")) & near & (F.array_intersect("bands_a", "bands_b")[0] == F.col("bucket"))
     return left.join(right, "bucket").where(near).select(F.col("digest_a").alias("a"), F.col("digest_b").alias("b"))
 
 
@@ -256,8 +258,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     links, linked = _linked(links, linked, _open(middles, rest, p).select("a", "b"), texts, p, scratch)
     # And what is still open, pair by pair; common shingles only get fewer as components grow.
     rest = scratch.keep(_mixed(rest.drop("component"), linked))
-    left = rest.select("bucket", *[F.col(c).alias(f"{c}_a") for c in ("digest", "component", "n", "c")])
-    links, linked = _linked(links, linked, _open(left, rest, p).where("a < b").select("a", "b"), texts, p, scratch)
+    # Each pair comes from the first bucket that both share: there either one led, and they were compared, or both are here.
+    rest = rest.join(classes.select("digest", "bands"), "digest")
+    left = rest.select("bucket", *[F.col(c).alias(f"{c}_a") for c in ("digest", "component", "n", "c", "bands")])
+    links, linked = _linked(links, linked, _open(left, rest, p, once=True), texts, p, scratch)
     whole = classes.select("digest", "rep").join(linked.withColumnRenamed("node", "digest"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
     names = whole.groupBy("component").agg(F.min("rep").alias("component_id"))
     verdicts = scratch.keep(whole.join(names, "component").select("digest", "component_id"))
