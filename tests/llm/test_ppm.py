@@ -66,6 +66,18 @@ def test_against_naive(spark, bits):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_whole_trie_at_any_size(spark):
+    """Nodes seen once in more than 2**18 symbols count, and nodes that aren't broadcast too."""
+    rows = [(0, "common words " * 25000, "s"), (1, "zyx", "s"), (2, "zyx qqq", "s")]
+    texts = [t for _, t, _ in rows]
+    _, want = naive(texts, texts, 4, 1)
+    _, cut = naive(texts, texts, 4, 3)
+    assert abs(want[1] - cut[1]) > 1
+    for model in (ppm.Model(), ppm.Model(cache_bits=4)):
+        out = {r.doc_id: r.score for r in ppm.score(documents(spark, rows), F.lit(True), model=model).collect()}
+        assert all(math.isclose(out[i], s, rel_tol=1e-9) for i, s in enumerate(want))
+
+
 def test_empty(spark):
     assert ppm.score(documents(spark, []), F.lit(True)).count() == 0
     out = ppm.score(documents(spark, [(1, "a b", "s")]), F.lit(False)).collect()
