@@ -1,12 +1,13 @@
 """Language-model scores by prediction with partial matching.
 
 Training texts are cut into lower-cased words.  A byte-context trie counts, for
-every place in a word, the next byte after the up to ``order`` bytes before it
-(contexts start at the word's start).  A byte is coded in the longest context
+every place in the stream of words, the next byte after the up to ``order`` bytes
+before it (contexts run across words, or start at the word's start if
+``across_words`` is unset).  A byte is coded in the longest context
 seen; if that context has not seen it, an escape is coded and the next shorter
 context is used without the bytes already excluded; after the empty context come
 all bytes alike.  The escape of a context is estimated by its distinct bytes.
-Words end in a space, and one further symbol at the start of a word ends the
+Words end in a space, and one further symbol where a word may start ends the
 text, so the scores of all texts are a probability distribution.
 
 The trie is whole: every node of the training texts counts.  It is a table, as is
@@ -34,7 +35,7 @@ from pyspark.sql import types as T
 
 from .common import Scratch, map_texts, text_blocks
 
-#: The space ends a word; a line feed marks a word's start in contexts and, as a symbol there, the end of the text.
+#: The space ends a word; a line feed marks a text's (or a word's) start in contexts and, as a symbol, the end of the text.
 SPACE, MARK = 0x20, 0x0A
 #: Bytes that words hold, the space and the end.
 ALPHABET = 256 - 6 + 2
@@ -44,6 +45,8 @@ ALPHABET = 256 - 6 + 2
 class Model:
     #: Bytes of context, 6 at most: a node and its length are one long.
     order: int = 4
+    #: Whether contexts hold the end of the word before.
+    across_words: bool = False
     #: If set, nodes seen less than once in 2**share_bits symbols of the training texts are left out.
     share_bits: int | None = None
     #: Nodes and words seen less than once in 2**cache_bits symbols or tokens aren't broadcast.
@@ -61,7 +64,7 @@ def stream(text: bytes | None) -> bytes:
     return b"".join([b"\n", *(w + b" " for w in text.lower().split()), b"\n"]) if text else b"\n\n"
 
 
-def windows(texts: list[bytes | None], order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def windows(texts: list[bytes | None], order: int, across: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each symbol of the texts' streams its node (its longest context and itself) and its text's number, by pieces.
 
     A node is a long: a 1, then its bytes.  The shorter contexts' nodes are the ends of these.
@@ -74,7 +77,7 @@ def windows(texts: list[bytes | None], order: int) -> Iterator[tuple[np.ndarray,
         raw = data[low : first + PIECE].astype(np.int64)
         at = np.arange(len(raw))
         here = starts[np.searchsorted(starts, low) : np.searchsorted(starts, low + len(raw))] - low
-        begins = raw == SPACE
+        begins = np.zeros(len(raw), bool) if across else raw == SPACE
         begins[here] = True
         before = np.where(begins, MARK, raw)
         # Places since the last beginning; none in sight is as far as the order.
@@ -82,7 +85,7 @@ def windows(texts: list[bytes | None], order: int) -> Iterator[tuple[np.ndarray,
         depth = np.minimum(order, at[1:] - last[:-1])
         node = raw[1:].copy()
         for k in range(1, order + 1):
-            node[k - 1 :] |= before[: len(raw) - k] << 8 * k
+            node[k - 1 :] |= before[: max(0, len(raw) - k)] << 8 * k
         mark = np.int64(1) << 8 * (depth + 1)
         node = node & (mark - 1) | mark
         symbol = np.ones(len(raw), bool)
@@ -114,7 +117,7 @@ def code_lengths(levels: Iterator[tuple[int, dict[int, int]]], excluded: set[int
 
 def impossible(context: bytes) -> set[int]:
     """No word is empty and no text ends inside one."""
-    return {SPACE} if context == b"\n" else {MARK}
+    return {SPACE} if context[-1:] in (b"\n", b" ") else {MARK}
 
 
 class Trie:
@@ -174,14 +177,14 @@ def _count_words(found: Counter, _, texts: list[bytes | None]) -> None:
             found.update(t.lower().split())
 
 
-def _node_counts(rows: DataFrame, order: int) -> DataFrame:
+def _node_counts(rows: DataFrame, order: int, across: bool) -> DataFrame:
     """(node, n, learned): how often all texts and those to learn from hold each longest node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in text_blocks(batch, "text"):
                 learns = np.array([x is True for x in part.column("train").to_pylist()], np.int64)
-                for node, of in windows(texts, order):
+                for node, of in windows(texts, order, across):
                     both, n = np.unique(node << 1 | learns[of], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(both >> 1), pa.array(n), pa.array(n * (both & 1))], names=["node", "n", "learned"])
 
@@ -260,9 +263,9 @@ def score(docs: DataFrame, trains: Column, doc_id: str = "doc_id", text: str = "
     tokens, kinds = n_words + ends, distinct + (ends > 0)
     floor = math.log10(tokens + 0.5 * (kinds + 1))
     log_c = lambda c: math.log10(c + 0.5) - floor
-    order = model.order
+    order, across = model.order, model.across_words
     least = max(1, math.ceil(symbols / (1 << model.share_bits))) if model.share_bits is not None else 1
-    counts = scratch.keep(_node_counts(rows, order))
+    counts = scratch.keep(_node_counts(rows, order, across))
     codes = scratch.keep(_coded(counts, order, least))
     # At most 2**cache_bits nodes, and as many words.
     held = codes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -290,7 +293,7 @@ def score(docs: DataFrame, trains: Column, doc_id: str = "doc_id", text: str = "
                 for c, x in zip(cols, (sum(found.values()) + 1, known, base, rare, times)):
                     c.append(x)
             total, missed = np.zeros(len(texts)), [[] for _ in texts]
-            for node, of in windows(texts, order):
+            for node, of in windows(texts, order, across):
                 kinds, which = np.unique(node, return_inverse=True)
                 place = np.searchsorted(nodes, kinds)
                 place[place == len(nodes)] = 0
@@ -326,5 +329,5 @@ def score(docs: DataFrame, trains: Column, doc_id: str = "doc_id", text: str = "
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     trains = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))) % 5 != 1
-    return score(docs, trains)
+    return score(docs, trains, model=Model(across_words=True))
 

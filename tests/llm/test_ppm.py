@@ -78,6 +78,48 @@ def test_whole_trie_at_any_size(spark):
         assert all(math.isclose(out[i], s, rel_tol=1e-9) for i, s in enumerate(want))
 
 
+@pytest.mark.parametrize("across", [False, True])
+def test_windows_by_pieces(monkeypatch, across):
+    texts = [b"ab c" * 9, None, b"", b"longword " * 20, b"x"]
+    whole = [x.tolist() for x in next(ppm.windows(texts, 4, across))]
+    for size in (1, 3, 50):
+        monkeypatch.setattr(ppm, "PIECE", size)
+        pieces = [(n.tolist(), of.tolist()) for n, of in ppm.windows(texts, 4, across)]
+        assert [sum((p[i] for p in pieces), []) for i in (0, 1)] == whole
+
+
+@pytest.mark.parametrize("bits", [20, 3])
+def test_contexts_run_across_words(spark, bits):
+    """Against contexts counted from each text's whole stream; the order of words counts."""
+    rng = random.Random(7)
+    rows = [(i, " ".join(rng.choice(["The", "né", "cat", "x" * rng.randint(1, 9), "a", "\x00"]) for _ in range(rng.randint(0, 30))), "s") for i in range(40)]
+    rows += [(50, "new york city", "s"), (51, "new york city", "s"), (52, "york new city", "s"), (53, None, "s"), (54, " ", "s")]
+    streams = [b"\n" + b"".join(w + b" " for w in (t or "").encode().lower().split()) + b"\n" for _, t, _ in rows]
+    learns = [i % 3 != 0 or i >= 50 and i != 52 for i, _, _ in rows]
+    nodes = Counter(s[i - k : i + 1] for s, learn in zip(streams, learns) if learn for i in range(1, len(s)) for k in range(min(4, i) + 1))
+    contexts = {}
+    for x, n in nodes.items():
+        total, seen = contexts.get(x[:-1], (0, {}))
+        contexts[x[:-1]] = total + n, seen | {x[-1]: n}
+    trie = ppm.Trie(contexts, 4, 1000)
+    df = documents(spark, rows)
+    trains = F.col("doc_id").isin([i for (i, _, _), learn in zip(rows, learns) if learn])
+    out = {r.doc_id: r.score for r in ppm.score(df, trains, model=ppm.Model(across_words=True, cache_bits=bits)).collect()}
+    for (i, _, _), s in zip(rows, streams):
+        assert math.isclose(out[i], sum(trie.symbol(s[max(0, j - 4) : j + 1]) for j in range(1, len(s))), rel_tol=1e-9), i
+    assert out[52] < out[51] - 0.1
+    for c in (b"cat ", b"york", b"\n", b"e n", b""):
+        symbols = [s for s in range(256) if s not in b" \t\n\x0b\x0c\r"] + ([10] if c[-1:] in (b"\n", b" ") else [32])
+        assert c == b"" or math.isclose(sum(10 ** trie.symbol(c + bytes([s])) for s in symbols), 1, rel_tol=1e-9)
+
+
+def test_query_scores_the_order_of_words(spark, tmp_path):
+    rows = [(i, t, "s") for i in range(30) for t in ["new york city", "city of new jersey"]] + [(100, "york new city", "s"), (101, "new york city", "s")]
+    documents(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    out = {r.doc_id: r.score for r in ppm.query(spark, str(tmp_path)).collect()}
+    assert out[101] > out[100] + 0.1
+
+
 def test_empty(spark):
     assert ppm.score(documents(spark, []), F.lit(True)).count() == 0
     out = ppm.score(documents(spark, [(1, "a b", "s")]), F.lit(False)).collect()
