@@ -25,8 +25,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeats of lines go, and documents of which nothing but white space is left."""
-    cut = lines.dedup_lines(_carried(docs, "doc_id", "text"))
+    """Later repeats of lines with a word go, and documents of which nothing but white space is left."""
+    cut = lines.dedup_lines(_carried(docs, "doc_id", "text"), p=lines.Lines(min_words=1))
     gone = (F.col("n_removed") > 0) & (F.length(F.regexp_replace("text", r"[\x20\x09-\x0D]+", "")) == 0)
     new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
     return cut.where(~gone).select(*[(new[c] if c in new else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

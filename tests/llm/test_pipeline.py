@@ -50,3 +50,11 @@ def test_stages_take_any_rows(spark, tmp_path):
             assert out.columns == docs.columns and all((r.kept, r.n_words, r.row, r.n_lines) == ("a", "b", "c", "d") for r in got), name
         assert len(got) == {"quality_rules": 3, "line_dedup": 4, "minhash_near_dedup": 3, "benchmark_decontamination": 2, "sentencepiece": 6}[name], name
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_short_lines_are_deduplicated(spark, tmp_path):
+    """Equal lines of one and two words go too; empty lines stay."""
+    rows = [(1, "Menu\nread more\n\nfirst text here", "en", "s", 0), (2, "menu\n\nRead  more\nMenu now\nother", "en", "s", 0), (3, "menu", "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = {r.doc_id: r.text for r in corpus_pipeline.drop_repeated_lines(spark, docs, str(tmp_path)).collect()}
+    assert out == {1: rows[0][1], 2: "\nMenu now\nother"}
