@@ -28,6 +28,8 @@ from .common import map_texts
 
 #: Fixed value: how byte-level vocabularies split texts before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Fixed value: what the pattern's \s takes (str.isspace also takes U+001C to U+001F).
+_WHITE = frozenset("\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 #: Contractions whose shorter prefixes are split otherwise than themselves.
 _LONG_CONTRACTIONS = frozenset({"'re", "'ve", "'ll"})
 
@@ -105,12 +107,13 @@ class PrefixCounter:
         while i < len(parts):
             # A run of white space is one piece while nothing follows it, and may be split when something does.
             j = i
-            while j < len(parts) and parts[j].isspace():
+            while j < len(parts) and parts[j][-1] in _WHITE:
                 j += 1
             run = "".join(parts[i:j])
             follower = parts[j] if j < len(parts) else ""
-            if j > i and (j - i > 1 or follower[:1].isspace()):
-                whole = run + (follower[0] if follower[:1].isspace() else "")
+            led = follower[:1] in _WHITE
+            if j > i and (j - i > 1 or led):
+                whole = run + (follower[0] if led else "")
                 out += [done + c for c in self.counts(whole)]
                 done += sum(self.piece(p)[0] for p in parts[i:j])
                 if follower:

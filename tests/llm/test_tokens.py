@@ -11,7 +11,7 @@ from .conftest import documents
 PATH = P.path("byte_bpe_50k.json")
 TEXTS = [
     "", " ", "  ", "a  b", "a \n\n b", "\n\nX", "I'll we've you're don't '' 'l 're", "<|endoftext|>", "a <|endoftext|> b", "<|endoftext|><|endoftext|>x",
-    "  lead", "trail  ", "\t\tx\t y", "aaaaaaaaaaaaaaa", "éÉ日本語 ½ ²", "🙂🙂 ok", "x  y", "a　b", "1234567 89", "----------", "          z", "\x1c\x1d \x85", "é",
+    "  lead", "trail  ", "\t\tx\t y", "aaaaaaaaaaaaaaa", "éÉ日本語 ½ ²", "🙂🙂 ok", "x  y", "a　b", "1234567 89", "----------", "          z", "\x1c\x1d \x85", "▁s \xa0\x1c", " \x1c", "\xa0 \x1f\x1f a", "  \x1e", "é",
 ]
 
 
@@ -22,8 +22,8 @@ def both():
 
 def texts():
     rng = random.Random(3)
-    pool = list("abcdefghij THE ing tion  \n\t'slrev0123.,-é日🙂 <|>") + ["'ll", "'re", "<|endoftext|>", "  ", "er", " the"]
-    return TEXTS + ["".join(rng.choice(pool) for _ in range(rng.randint(1, 40))) for _ in range(400)]
+    pool = list("abcdefghij THE ing tion  \n\t'slrev0123.,-é日🙂 <|>") + ["\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0", "\u2028", "\u200b", "\u3000", "\x0b"] + ["'ll", "'re", "<|endoftext|>", "  ", "er", " the"]
+    return TEXTS + ["".join(rng.choice(pool) for _ in range(rng.randint(1, 40))) for _ in range(1500)]
 
 
 def test_whole_texts(both):
@@ -34,7 +34,7 @@ def test_whole_texts(both):
 
 def test_every_prefix(both):
     own, ref = both
-    for t in texts()[:160]:
+    for t in texts()[:400]:
         n, deltas = own.table(t)
         assert len(deltas) == len(t)
         assert list(tokens.prefix_counts(deltas)) == [len(ref.encode(t[: i + 1], add_special_tokens=False).ids) for i in range(len(t))], repr(t)
