@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -14,6 +18,28 @@ from pyspark.sql import types as T
 
 #: Bytes of text that a Python task holds as objects at once (a longer text is a block of its own).
 BLOCK_BYTES = 4 << 20
+#: Bytes that a broadcast table may have.
+BROADCAST_BYTES = 64 << 20
+#: Functions of this subpackage that keep large tables in a worker, by name; a task keeps only what it uses.
+_HELD: dict[str, Callable] = {}
+
+
+def held(f: Callable) -> Callable:
+    """``f`` with its last result kept for the tasks that a worker runs, until a task of another operator starts."""
+    f = lru_cache(maxsize=1)(f)
+    _HELD[f.__wrapped__.__module__] = f
+    return f
+
+
+def release_others(module: str) -> None:
+    """Free the tables that tasks of other operators have left in this worker."""
+    idle = [f for name, f in _HELD.items() if name != module and f.cache_info().currsize]
+    for f in idle:
+        f.cache_clear()
+    if idle:
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,8 +47,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a local one where it is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``; a local one only where it is unset and there is one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return (found or f"{tempfile.gettempdir()}/gridloom-scratch").rstrip("/")
 
 
@@ -33,6 +61,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/gridloom/{name}-{uuid.uuid4().hex}"
         self.count = 0
+        self.kept: dict[str, DataFrame] = {}
 
     def keep(self, df: DataFrame) -> DataFrame:
         """Write ``df`` and read it back; the returned frame has the path as ``scratch_path``."""
@@ -41,16 +70,34 @@ class Scratch:
         df.write.parquet(path)
         back = self.spark.read.schema(df.schema).parquet(path)
         back.scratch_path = path
+        self.kept[path] = back
         return back
 
     def drop(self, *frames: DataFrame | None) -> None:
         """Delete tables that no later step reads."""
         for df in frames:
-            if df is None:
+            if df is None or self.kept.pop(df.scratch_path, None) is None:
                 continue
             path = self.spark._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
+    def only(self, *frames: DataFrame) -> None:
+        """Delete all tables but those that the result reads."""
+        left = {df.scratch_path for df in frames}
+        self.drop(*[df for path, df in self.kept.items() if path not in left])
+
+
+def small(df: DataFrame, rows: int, size: Column | None = None, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` has at most ``rows`` rows and ``limit`` bytes, ``size`` being the bytes of one, so that it may be broadcast."""
+    counted = df.select((F.lit(64) if size is None else size).cast("long").alias("size")).limit(rows + 1)
+    n, held = counted.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    return n <= rows and held <= limit
+
+
+def bytes_of(*columns: str) -> Column:
+    """Bytes of string or binary columns in a row."""
+    return sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in columns), F.lit(64))
+
 
 def row_key(doc_id: str, text: str) -> Column:
     """Equal for rows with equal ids and texts only."""
@@ -95,6 +142,7 @@ def map_texts(
     arrow = to_arrow_schema(new)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_others(work.__module__)
         f = work()
         for batch in batches:
             for part, texts in text_blocks(batch, "__text"):

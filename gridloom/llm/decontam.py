@@ -4,8 +4,9 @@ Training and test texts are cut into words; each keeps the smallest hash of
 ``gram`` words in every sliding window, so any shared span of ``window`` words
 shares a fingerprint.  Fingerprints are joined, each match is extended word by
 word on both sides, and a run as long as a window (or as a whole shorter item)
-marks its words as hit.  Items shorter than a gram are looked up by all grams of
-their own length.
+marks its words as hit.  Items shorter than a window share no fingerprint for sure
+and are looked up by all grams of their own length; no item changes the width of
+the windows.
 
 Hashes are taken over texts lower-cased by Unicode rules, which only merges more
 candidates; the words compared in extension are lower-cased in A-Z alone.
@@ -24,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key
+from .common import row_key, small
 
 #: Fixed value: what lies between words (A-Z, here still in their case, belong to words).
 _BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -60,10 +61,10 @@ def _grams(words: Column, size: int) -> Column:
 
 
 def fingerprints(words: Column, gram: int, width: int, short: list[int]) -> Column:
-    """array<struct<pos, len, hash>>: the winnowed grams, and all grams of the short lengths."""
+    """array<struct<pos, len, kind, hash>>: the winnowed grams (of kind 0), and all grams of the short lengths (their kind)."""
 
-    def entry(i: Column, size: int, h: Column) -> Column:
-        return F.struct(i.alias("pos"), F.lit(size).alias("len"), h.alias("hash"))
+    def entry(i: Column, size: int, h: Column, kind: int) -> Column:
+        return F.struct(i.alias("pos"), F.lit(size).alias("len"), F.lit(kind).alias("kind"), h.alias("hash"))
 
     def winnowed(g: Column) -> Column:
         windows = F.size(g) - width + 1
@@ -73,12 +74,12 @@ def fingerprints(words: Column, gram: int, width: int, short: list[int]) -> Colu
             # A gram is kept if it is the smallest of some window, so if the largest of its windows' minima is its hash.
             start = lambda i: F.greatest(i - (width - 2), F.lit(1))
             at = F.filter(F.sequence(F.lit(0), F.size(g) - 1), lambda i: F.get(g, i) == F.array_max(F.slice(m, start(i), i + 2 - start(i))))
-            return F.transform(at, lambda i: entry(i, gram, F.get(g, i)))
+            return F.transform(at, lambda i: entry(i, gram, F.get(g, i), 0))
 
-        return F.when(windows > 0, _let(least, selected)).otherwise(F.array().cast("array<struct<pos:int,len:int,hash:bigint>>"))
+        return F.when(windows > 0, _let(least, selected)).otherwise(F.array().cast("array<struct<pos:int,len:int,kind:int,hash:bigint>>"))
 
     def every(size: int):
-        return lambda g: F.transform(g, lambda h, i: entry(i, size, F.xxhash64(h, F.lit(size))))
+        return lambda g: F.transform(g, lambda h, i: entry(i, size, F.xxhash64(h, F.lit(size)), size))
 
     def both(lower: Column) -> Column:
         out = [_let(_grams(lower, gram), winnowed)]
@@ -94,28 +95,33 @@ def contamination(docs: DataFrame, bench: DataFrame, doc_id="doc_id", text="text
     items = bench.select(F.col(f"`{item_id}`").cast("string").alias("item"), words_of(F.col(f"`{item_text}`")).alias("iw")).withColumn("n", F.size("iw")).where("n > 0")
     # Only which of the lengths below a window occur: a bounded list.
     lengths = sorted(r.n for r in items.where(F.col("n") < window).select("n").distinct().collect())
-    short = [n for n in lengths if n < gram]
-    shared = min([n for n in lengths if n >= gram], default=window)
-    width, reach = shared - gram + 1, window - gram
+    short = [n for n in lengths if n < window]
+    width, reach = window - gram + 1, window - gram
     spread = range(-reach, window)
     side = items.select("item", "iw", F.least("n", F.lit(window)).alias("need"), "n", F.explode(fingerprints(F.col("iw"), gram, width, short)).alias("f"))
-    side = side.where((F.col("f.len") == gram) | (F.col("f.len") == F.col("n"))).select(
-        F.col("f.hash").alias("hash"), F.col("f.len").alias("len"), "item", "need", F.array(*[_az_lower(F.get("iw", F.col("f.pos") + t)) for t in spread]).alias("around")
+    side = side.where((F.col("f.len") == F.col("n")) | ((F.col("f.kind") == 0) & (F.col("n") >= window))).select(
+        F.col("f.hash").alias("hash"), F.col("f.kind").alias("kind"), "item", "need", F.array(*[_az_lower(F.get("iw", F.col("f.pos") + t)) for t in spread]).alias("around")
     )
-    few = side.limit(params.broadcast_fingerprints + 1).count() <= params.broadcast_fingerprints
+    few = small(side, params.broadcast_fingerprints, 64 + F.octet_length(F.array_join("around", " ")) + 16 * len(spread))
     rows = docs.select(F.col(f"`{doc_id}`").alias("id"), row_key(doc_id, text).alias("key"), words_of(F.col(f"`{text}`")).alias("words"))
     # Every document also sends one row of its own, which matches nothing and carries its number of words.
-    own = F.array(F.struct(F.lit(-1).alias("pos"), F.lit(0).alias("len"), F.xxhash64("key").alias("hash")))
-    rows = rows.select("id", "key", "words", F.explode(F.concat(own, fingerprints(F.col("words"), gram, width, short))).alias("f"))
-    rows = rows.select("id", "key", "words", F.col("f.pos").alias("pos"), F.col("f.len").alias("len"), F.col("f.hash").alias("hash"))
-    if not few:
-        rows = rows.select("id", "key", F.size("words").alias("size"), "pos", "len", "hash", F.array(*[F.get("words", F.col("pos") + t) for t in spread]).alias("near"))
-        near = lambda t: F.get("near", F.lit(t + reach))
-        size = F.col("size")
-    else:
-        near = lambda t: F.get("words", F.col("pos") + t)
-        size = F.size("words")
-    matched = rows.join(F.broadcast(side) if few else side, ["hash", "len"], "left").where((F.col("pos") < 0) | F.col("need").isNotNull())
+    none = F.array().cast("array<string>")
+    own = F.array(F.struct(F.lit(-1).alias("pos"), F.lit(-1).alias("kind"), F.xxhash64("key").alias("hash"), none.alias("near")))
+    # A fingerprint takes its neighbours along, so that no row carries all words.  Slices start at 1 and end with the text.
+    found = F.transform(
+        fingerprints(F.col("words"), gram, width, short),
+        lambda f: F.struct(
+            f["pos"].alias("pos"),
+            f["kind"].alias("kind"),
+            f["hash"].alias("hash"),
+            F.slice("words", F.greatest(f["pos"] - (reach - 1), F.lit(1)), F.least(f["pos"], F.lit(reach)) + window).alias("near"),
+        ),
+    )
+    rows = rows.select("id", "key", F.size("words").alias("size"), F.explode(F.concat(own, found)).alias("f"))
+    rows = rows.select("id", "key", "size", *[F.col(f"f.{c}").alias(c) for c in ("pos", "kind", "hash", "near")])
+    near = lambda t: F.when(F.col("pos") + t >= 0, F.get("near", F.least("pos", F.lit(reach)) + t))
+    size = F.col("size")
+    matched = rows.join(F.broadcast(side) if few else side, ["hash", "kind"], "left").where((F.col("pos") < 0) | F.col("need").isNotNull())
     same = F.concat(*[F.when(_az_lower(near(t)) == F.get("around", F.lit(t + reach)), "1").otherwise("0") for t in spread])
     matched = matched.select("id", "key", "item", "need", "pos", F.when(F.col("pos") < 0, size).alias("size"), F.when(F.col("pos") >= 0, same).alias("same"))
     matched = matched.withColumn("left", F.length(F.regexp_extract(F.substring("same", 1, reach), "1*$", 0))).withColumn("right", F.length(F.regexp_extract(F.substring("same", reach + 1, window), "^1*", 0)))
@@ -149,7 +155,7 @@ def contamination(docs: DataFrame, bench: DataFrame, doc_id="doc_id", text="text
 def remove_contaminated(docs: DataFrame, bench: DataFrame, doc_id="doc_id", text="text", params: Winnowing = Winnowing(), **names) -> DataFrame:
     """The documents without a hit, with all their columns."""
     bad = contamination(docs, bench, doc_id, text, params=params, **names).where("contaminated").select(F.col("key").alias("__bad")).distinct()
-    few = bad.limit(params.broadcast_keys + 1).count() <= params.broadcast_keys
+    few = small(bad, params.broadcast_keys)
     return docs.join(F.broadcast(bad) if few else bad, row_key(doc_id, text) == F.col("__bad"), "left_anti")
 
 

@@ -2,7 +2,8 @@
 
 A line is its sequence of words (A-Z lower-cased).  Two lines repeat each other
 if they have the same words or, from ``fuzzy_words`` words on, if one inserted,
-deleted or replaced word makes them equal.  A line is removed if an earlier one
+deleted or replaced word makes them equal; below five words one edit is more than
+a fifth of a line, so these must be equal.  A line is removed if an earlier one
 (by id, text hash and line number) repeats it, whether that one is removed or
 not; so the result doesn't depend on any order of work.
 
@@ -31,13 +32,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, text_blocks
+from .common import Scratch, small, text_blocks
 
 
 @dataclass(frozen=True)
 class Lines:
-    min_words: int = 3
-    fuzzy_words: int = 10
+    min_words: int = 1
+    fuzzy_words: int = 5
     #: Documents with lines to look up or remove are broadcast up to this many, else joined by shuffle.
     broadcast_documents: int = 300_000
 
@@ -104,7 +105,7 @@ def occurrences(docs: DataFrame, p: Lines) -> DataFrame:
 
 def _looked_up(docs: DataFrame, wanted: DataFrame, p: Lines, how: str) -> DataFrame:
     """docs joined with ``wanted`` (id, k and more), by broadcast where it is counted to be small."""
-    few = wanted.limit(p.broadcast_documents + 1).count() <= p.broadcast_documents
+    few = small(wanted, p.broadcast_documents, 64 + 24 * F.size(wanted.columns[-1]))
     wanted = wanted.withColumnsRenamed({"id": "__id", "k": "__k"})
     return docs.join(F.broadcast(wanted) if few else wanted, docs["id"].eqNullSafe(F.col("__id")) & (docs["k"] == F.col("__k")), how).drop("__id", "__k")
 
@@ -168,7 +169,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def repeated_lines(docs: DataFrame, scratch: Scratch, p: Lines = Lines()) -> DataFrame:
     """(id, k, gone): the numbers of the lines to remove from each document; docs has id, k and text."""
-    found = occurrences(docs, p)
+    found = scratch.keep(occurrences(docs, p))
     position = F.struct("id", "k", "no")
     lines = scratch.keep(found.groupBy("line").agg(F.min(position).alias("first"), F.count(F.lit(1)).alias("times"), F.first("halves").alias("halves")))
     # Halves at places 0 and 2 are first halves, at 1 and 3 last halves.
@@ -193,7 +194,7 @@ def repeated_lines(docs: DataFrame, scratch: Scratch, p: Lines = Lines()) -> Dat
     judged = lines.select("line", "first", "times").join(repeats, "line", "left").where("times > 1 or near")
     gone = found.select("id", "k", "no", "line").join(judged, "line").where(F.col("near") | ~position.eqNullSafe(F.col("first")))
     gone = scratch.keep(gone.groupBy("id", "k").agg(F.collect_set("no").alias("gone")))
-    scratch.drop(lines, near, texts, variants, variants_shared, repeats)
+    scratch.only(gone)
     return gone
 
 
@@ -226,15 +227,15 @@ WITH t AS (
 l AS (
   SELECT doc_id, no, doc_id * 1000000 + no AS pos, len(w) AS n, array_to_string(w, ' ') AS k, w
   FROM (SELECT doc_id, no, regexp_extract_all(translate(ls[no], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
-        FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS no FROM t)) WHERE len(w) >= 3),
+        FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS no FROM t)) WHERE len(w) >= 1),
 d AS (SELECT k, any_value(n) AS n, any_value(w) AS w, min(pos) AS pos FROM l GROUP BY k),
 v AS (
   SELECT k, pos, i, array_to_string(list_concat(w[:i - 1], w[i + 1:]), ' ') AS v
-  FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM d WHERE n >= 10)),
+  FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM d WHERE n >= 5)),
 near AS (
   SELECT v.k FROM v JOIN (SELECT v, i, min(pos) AS m FROM v GROUP BY v, i) USING (v, i) WHERE m < v.pos
-  UNION SELECT v.k FROM v JOIN d f ON v.v = f.k AND f.n >= 10 WHERE f.pos < v.pos
-  UNION SELECT f.k FROM d f JOIN v ON v.v = f.k WHERE f.n >= 10 AND v.pos < f.pos),
+  UNION SELECT v.k FROM v JOIN d f ON v.v = f.k AND f.n >= 5 WHERE f.pos < v.pos
+  UNION SELECT f.k FROM d f JOIN v ON v.v = f.k WHERE f.n >= 5 AND v.pos < f.pos),
 gone AS (
   SELECT doc_id, no FROM l JOIN d USING (k) WHERE l.pos > d.pos OR k IN (SELECT k FROM near)),
 g AS (SELECT doc_id, count(*) AS n_removed, list(no) AS nos FROM gone GROUP BY doc_id),

@@ -30,7 +30,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 from hashlib import blake2b
 
 import numpy as np
@@ -39,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, map_texts, row_key, text_blocks
+from .common import Scratch, held, map_texts, row_key, small, text_blocks
 from .graph import components
 
 
@@ -120,7 +119,7 @@ class Circulant:
         return out.view(np.int64)
 
 
-@lru_cache(maxsize=2)
+@held
 def circulant(p: MinHash) -> Circulant:
     return Circulant(p)
 
@@ -195,7 +194,7 @@ def common_counts(rest: DataFrame, texts: DataFrame, p: MinHash) -> DataFrame:
 
 def texts_of(docs: DataFrame, text: str, keys: DataFrame, p: MinHash) -> DataFrame:
     """(digest, text): one text for each row of ``keys`` (digest, key)."""
-    few = keys.limit(p.broadcast_keys + 1).count() <= p.broadcast_keys
+    few = small(keys, p.broadcast_keys)
     found = docs.select(docs["key"], F.col(f"`{text}`").alias("text")).join(F.broadcast(keys) if few else keys, "key")
     return found.select("digest", "text").dropDuplicates(["digest"])
 
@@ -276,7 +275,7 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", p:
     judged = near_duplicates(docs, doc_id, text, p).select(F.col("key").alias("__key"), "kept")
 
     def keyed(keys: DataFrame, how: str) -> DataFrame:
-        few = keys.limit(p.broadcast_keys + 1).count() <= p.broadcast_keys
+        few = small(keys, p.broadcast_keys)
         return docs.join(F.broadcast(keys) if few else keys, row_key(doc_id, text) == F.col("__key"), how)
 
     gone = judged.where("not kept").select("__key").distinct()

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import PairAutomaton
-from .common import map_texts
+from .common import held, map_texts
 
 #: Fixed values of the model format: the space mark, kinds of pieces and of models.
 MARK = "▁"
@@ -261,7 +261,7 @@ class Transducer:
         return data.decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=2)
+@held
 def transducer(path: str) -> Transducer:
     return Transducer(path)
 

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, map_texts
+from .common import Scratch, bytes_of, map_texts, row_key, small
 
 WHITE = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
@@ -43,8 +43,9 @@ class Rules:
     max_host_rate: float = 0.6
     #: Bounds of the prior's weight in documents.
     prior_weight: tuple[float, float] = (2.0, 1000.0)
-    #: Rejected hosts up to this many are broadcast; more are joined by shuffle.
+    #: Rejected hosts or documents up to this many are broadcast; more are joined by shuffle.
     broadcast_hosts: int = 100_000
+    broadcast_documents: int = 500_000
 
 
 def text_stats(text: bytes | None) -> tuple[int, int, int, int, int]:
@@ -113,19 +114,20 @@ def host_verdicts(stats: DataFrame, host: str, rules: Rules, scratch: Scratch) -
 
 
 def judge(docs: DataFrame, text: str = "text", host: str = "source", keep: list[str] | None = None, rules: Rules = Rules()) -> DataFrame:
-    """``keep`` columns, the counts, base_failed, host_failed and kept of every document."""
+    """``keep`` columns, the counts, base_failed, host_failed and kept of every document.
+
+    Texts are read once: the counts are written beside the kept columns, so keep no texts if they are large.
+    """
     keep = docs.columns if keep is None else keep
     scratch = Scratch(docs.sparkSession, "quality")
-    hosts = host_verdicts(document_stats(docs, text, [host]), host, rules, scratch)
+    with_host = docs.withColumn("__of_host", F.col(f"`{host}`"))
+    kept = [c for c in keep if c.lower() not in {"base_failed", "host_failed", "kept"} | {n for n, _ in STATS}]
+    stats = scratch.keep(document_stats(with_host, text, [*kept, "__of_host"]))
+    hosts = host_verdicts(stats, "__of_host", rules, scratch)
     rejected = hosts.where("host_failed").select("__host", "host_failed")
     # Hosts are far fewer than documents, yet their number has no bound: only a counted few are broadcast.
-    few = rejected.limit(rules.broadcast_hosts + 1).count() <= rules.broadcast_hosts
-    with_host = docs.withColumn("__of_host", F.col(f"`{host}`"))
-    kept = [c for c in keep if c.lower() not in {"base_failed", "host_failed", "kept"}]
-    judged = document_stats(with_host, text, [*kept, "__of_host"]).join(
-        F.broadcast(rejected) if few else rejected, F.col("__of_host") == F.col("__host"), "left"
-    )
-    kept = [c for c in kept if c.lower() not in {n for n, _ in STATS}]
+    few = small(rejected, rules.broadcast_hosts, bytes_of("__host"))
+    judged = stats.join(F.broadcast(rejected) if few else rejected, F.col("__of_host") == F.col("__host"), "left")
     return (
         judged.withColumn("base_failed", base_failed(rules))
         .withColumn("host_failed", F.coalesce(F.col("host_failed"), F.lit(False)))
@@ -134,6 +136,18 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source", keep: list[
     )
 
 
+def drop_rejected(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", rules: Rules = Rules()) -> DataFrame:
+    """The documents that neither their own rules nor their host's verdict reject, with all their columns.
+
+    Only keys, texts and hosts are judged; the rows meet their verdicts in the JVM.
+    """
+    narrow = docs.select(row_key(doc_id, text).alias("__key"), F.col(f"`{text}`").alias("text"), F.col(f"`{host}`").alias("source"))
+    bad = judge(narrow, keep=["__key", "source"], rules=rules).where("not kept").select("__key", F.col("source").alias("__source")).distinct()
+    few = small(bad, rules.broadcast_documents, bytes_of("__key", "__source"))
+    same = (row_key(doc_id, text) == F.col("__key")) & docs[f"`{host}`"].eqNullSafe(F.col("__source"))
+    return docs.join(F.broadcast(bad) if few else bad, same, "left_anti")
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return judge(docs, keep=["doc_id"])

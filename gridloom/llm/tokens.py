@@ -16,7 +16,6 @@ gives an empty result; a kept column named as a result column gives way to it.
 from __future__ import annotations
 
 import json
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -24,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import MEMO, PairAutomaton
-from .common import map_texts
+from .common import held, map_texts
 
 #: Fixed value: how byte-level vocabularies split texts before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -175,7 +174,7 @@ class PrefixCounter:
         return n, b"".join(parts)
 
 
-@lru_cache(maxsize=2)
+@held
 def counter(path: str) -> PrefixCounter:
     return PrefixCounter(path)
 
