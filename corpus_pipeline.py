@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 as Parquet and read again as the next stage's docs.  All but the last return the
 columns of documents.  Each works on all rows that its predecessor kept.
+
+Defined results: a null or empty text fails the quality rules; a null source has
+no host verdict; rows with equal ids and texts are one document to lines and near-
+duplicates, and one of them stays; null ids are ids like any other; very long texts
+are taken whole; extra columns of any name are carried; empty tables stay empty.
 """
 
 from __future__ import annotations
@@ -21,12 +26,12 @@ def _carried(docs: DataFrame, *columns: str) -> DataFrame:
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither their own rules nor their host's verdict reject."""
-    return quality.judge(_carried(docs, "text", "source"), keep=["row"]).where("kept").select("row.*")
+    return quality.drop_rejected(docs)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later repeats of lines with a word go, and documents of which nothing but white space is left."""
-    cut = lines.dedup_lines(_carried(docs, "doc_id", "text"), p=lines.Lines(min_words=1))
+    cut = lines.dedup_lines(_carried(docs, "doc_id", "text"))
     gone = (F.col("n_removed") > 0) & (F.length(F.regexp_replace("text", r"[\x20\x09-\x0D]+", "")) == 0)
     new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
     return cut.where(~gone).select(*[(new[c] if c in new else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
@@ -72,5 +77,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: Near-duplicate groups and SentencePiece have no SQL form: the pipeline is tested against brute-force versions of its stages.
+#: Near-duplicate groups and SentencePiece have no SQL form: the pipeline is tested against a brute-force version of all stages.
 ORACLE_SQL = None
