@@ -25,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key, small
+from .common import Scratch, row_key, small
 
 #: Fixed value: what lies between words (A-Z, here still in their case, belong to words).
 _BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -41,6 +41,14 @@ class Winnowing:
     broadcast_keys: int = 500_000
 
 
+#: Bits of a hash by which fingerprints that no item has are left out early.
+_BITS = 17
+
+
+def _slot(hash_: Column) -> Column:
+    return hash_.bitwiseAND(F.lit((1 << _BITS) - 1).cast("long")).cast("int")
+
+
 def _let(value: Column, body) -> Column:
     """``body`` with ``value`` bound once, so that it is computed once for each row."""
     return F.transform(F.array(value), body)[0]
@@ -54,10 +62,23 @@ def _az_lower(word: Column) -> Column:
     return F.translate(word, string.ascii_uppercase, string.ascii_lowercase)
 
 
-def _grams(words: Column, size: int) -> Column:
-    """Hashes of all runs of ``size`` words."""
-    n = F.size(words) - size + 1
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.slice(words, i, size)))).otherwise(F.array().cast("array<bigint>"))
+def _grams(hashes: Column, size: int) -> Column:
+    """Hashes of all runs of ``size`` words, from the hashes of the words."""
+    n = F.size(hashes) - size + 1
+    grams = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(size)]))
+    return F.when(n > 0, grams).otherwise(F.array().cast("array<bigint>"))
+
+
+def _sliding(values: Column, width: int, better, body) -> Column:
+    """``body`` of the best (least or greatest) of every ``width`` neighbouring values, by doubling; a window cut off by the end has the best of what it has."""
+
+    def wider(best: Column, size: int) -> Column:
+        step = min(size, width - size)
+        if not step:
+            return body(best)
+        return _let(F.zip_with(best, F.slice(best, step + 1, 1 << 30), better), lambda b: wider(b, size + step))
+
+    return wider(values, 1)
 
 
 def fingerprints(words: Column, gram: int, width: int, short: list[int]) -> Column:
@@ -66,27 +87,31 @@ def fingerprints(words: Column, gram: int, width: int, short: list[int]) -> Colu
     def entry(i: Column, size: int, h: Column, kind: int) -> Column:
         return F.struct(i.alias("pos"), F.lit(size).alias("len"), F.lit(kind).alias("kind"), h.alias("hash"))
 
+    none = F.array().cast("array<struct<pos:int,len:int,kind:int,hash:bigint>>")
+
     def winnowed(g: Column) -> Column:
         windows = F.size(g) - width + 1
-        least = F.when(windows > 0, F.transform(F.sequence(F.lit(1), windows), lambda j: F.array_min(F.slice(g, j, width)))).otherwise(F.array().cast("array<bigint>"))
+        edge = F.array_repeat(F.lit(-(1 << 63)).cast("long"), width - 1)
 
-        def selected(m: Column) -> Column:
-            # A gram is kept if it is the smallest of some window, so if the largest of its windows' minima is its hash.
-            start = lambda i: F.greatest(i - (width - 2), F.lit(1))
-            at = F.filter(F.sequence(F.lit(0), F.size(g) - 1), lambda i: F.get(g, i) == F.array_max(F.slice(m, start(i), i + 2 - start(i))))
+        def selected(greatest: Column) -> Column:
+            at = F.filter(F.sequence(F.lit(0), F.size(g) - 1), lambda i: F.get(g, i) == F.get(greatest, i))
             return F.transform(at, lambda i: entry(i, gram, F.get(g, i), 0))
 
-        return F.when(windows > 0, _let(least, selected)).otherwise(F.array().cast("array<struct<pos:int,len:int,kind:int,hash:bigint>>"))
+        def by_window(least: Column) -> Column:
+            # A gram is kept if it is the smallest of some window, so if the largest of its windows' minima is its hash.
+            return _let(F.concat(edge, F.slice(least, 1, windows), edge), lambda m: _sliding(m, width, lambda a, b: F.greatest(a, b), selected))
+
+        return F.when(windows > 0, _sliding(g, width, lambda a, b: F.least(a, b), by_window)).otherwise(none)
 
     def every(size: int):
         return lambda g: F.transform(g, lambda h, i: entry(i, size, F.xxhash64(h, F.lit(size)), size))
 
-    def both(lower: Column) -> Column:
-        out = [_let(_grams(lower, gram), winnowed)]
-        out += [_let(_grams(lower, n), every(n)) for n in short]
+    def both(hashes: Column) -> Column:
+        out = [_let(_grams(hashes, gram), winnowed)]
+        out += [_let(_grams(hashes, n), every(n)) for n in short]
         return F.concat(*out) if len(out) > 1 else out[0]
 
-    return _let(F.transform(words, lambda w: F.lower(w)), both)
+    return _let(F.transform(words, lambda w: F.xxhash64(F.lower(w))), both)
 
 
 def contamination(docs: DataFrame, bench: DataFrame, doc_id="doc_id", text="text", item_id="item_id", item_text="text", params: Winnowing = Winnowing()) -> DataFrame:
@@ -107,9 +132,16 @@ def contamination(docs: DataFrame, bench: DataFrame, doc_id="doc_id", text="text
     # Every document also sends one row of its own, which matches nothing and carries its number of words.
     none = F.array().cast("array<string>")
     own = F.array(F.struct(F.lit(-1).alias("pos"), F.lit(-1).alias("kind"), F.xxhash64("key").alias("hash"), none.alias("near")))
+    marked = fingerprints(F.col("words"), gram, width, short)
+    if few:
+        # Fingerprints whose hash no item has in its last bits can't meet one in the join.
+        held = bytearray(1 << _BITS)
+        for r in side.select(_slot(F.col("hash")).alias("slot")).distinct().collect():
+            held[r.slot] = 1
+        marked = F.filter(marked, lambda f: F.substring(F.lit(bytes(held)), _slot(f["hash"]) + 1, 1) == F.lit(b"\x01"))
     # A fingerprint takes its neighbours along, so that no row carries all words.  Slices start at 1 and end with the text.
     found = F.transform(
-        fingerprints(F.col("words"), gram, width, short),
+        marked,
         lambda f: F.struct(
             f["pos"].alias("pos"),
             f["kind"].alias("kind"),
@@ -154,7 +186,8 @@ def contamination(docs: DataFrame, bench: DataFrame, doc_id="doc_id", text="text
 
 def remove_contaminated(docs: DataFrame, bench: DataFrame, doc_id="doc_id", text="text", params: Winnowing = Winnowing(), **names) -> DataFrame:
     """The documents without a hit, with all their columns."""
-    bad = contamination(docs, bench, doc_id, text, params=params, **names).where("contaminated").select(F.col("key").alias("__bad")).distinct()
+    scratch = Scratch(docs.sparkSession, "decontam")
+    bad = scratch.keep(contamination(docs, bench, doc_id, text, params=params, **names).where("contaminated").select(F.col("key").alias("__bad")).distinct())
     few = small(bad, params.broadcast_keys)
     return docs.join(F.broadcast(bad) if few else bad, row_key(doc_id, text) == F.col("__bad"), "left_anti")
 
