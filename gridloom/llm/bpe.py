@@ -75,6 +75,16 @@ class PairAutomaton:
             else:
                 return True
 
+    def may_follow(self, before: int, after: int) -> bool:
+        """``fits`` for places in ``tokens``, remembered."""
+        key = before << 20 | after
+        ok = self.pairs.get(key)
+        if ok is None:
+            if len(self.pairs) >= MEMO:
+                self.pairs.clear()
+            ok = self.pairs[key] = self.fits(self.tokens[before], self.tokens[after])
+        return ok
+
     def prefixes(self, text: str) -> tuple[list[int], list[int]]:
         """For each prefix of 0, 1, 2, ... symbols: its number of tokens and the place of its last token in ``tokens``.
 
@@ -82,32 +92,16 @@ class PairAutomaton:
         """
         n = len(text)
         counts, last = [0] * (n + 1), [-1] * (n + 1)
-        tokens, pairs = self.tokens, self.pairs
-        known = pairs.get
+        known = self.pairs.get
         for end, (t, size) in self.ends.iter(text):
             j = end + 1
             if last[j] >= 0:
                 continue
             i = j - size
             if i:
-                before = last[i]
-                key = before << 20 | t
-                ok = known(key)
-                if ok is None:
-                    if len(pairs) >= MEMO:
-                        pairs.clear()
-                    ok = pairs[key] = self.fits(tokens[before], tokens[t])
-                if not ok:
+                ok = known(last[i] << 20 | t)
+                if not (self.may_follow(last[i], t) if ok is None else ok):
                     continue
             last[j] = t
             counts[j] = counts[i] + 1
         return counts, last
-
-    def encode(self, text: str) -> list[int]:
-        """The tokens of a text, as places in ``tokens``."""
-        _, last = self.prefixes(text)
-        out, j = [], len(text)
-        while j:
-            out.append(last[j])
-            j -= len(self.tokens[last[j]])
-        return out[::-1]

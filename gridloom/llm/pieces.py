@@ -1,19 +1,22 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-A model file is compiled to a cascade of three transducers:
-
-* the normaliser rewrites the text: its longest-match rules (a double array of
-  rules, if the model has one), the treatment of spaces, the space mark;
-* characters that no piece starts from become byte pieces (or the unknown piece);
-* the piece transducer reads characters and writes piece ids.  Its states are the
-  last piece written.  For unigram models an arc weighs minus the piece's score;
-  for pair-encoding models an arc weighs nothing where its piece may follow the
-  state's piece, as pair merging would have it, and is absent elsewhere.
-
-Composed with a text this is an acyclic lattice, and its shortest path in the
-tropical semiring is the encoding.  No piece goes on past the space before a
-word (checked when compiling), so the lattice falls apart at words, and a worker
-remembers the paths of words it has seen.
+A model file is compiled to a cascade of transducers:
+
+* the rewriter replaces the longest match of a rule (a double array of rules, if the
+  model has one);
+* the spacer, of three states, puts the space mark before the text and for spaces,
+  and squeezes spaces if the model wants that;
+* the piece transducer reads the spacer's characters and writes piece ids.  An arc
+  weighs minus its piece's score.  For unigram models all pieces leave its one state;
+  for pair-encoding models its states are the last piece written, and an arc is
+  absent (infinitely heavy) where pair merging would not put its piece after that
+  one.  Characters that no piece starts from have an arc of byte pieces (or of the
+  unknown piece) into the starting state.
+
+The cascade is composed with a text as far as it is read, and the encoding is the
+shortest path in the tropical semiring, by one routine for both kinds of models.  No
+piece goes on past the space before a word (checked when compiling), so the composed
+lattice falls apart before spaces, and a worker remembers the paths of parts.
 
 Defined results: a null text is an empty one, without pieces; invalid UTF-8
 becomes replacement characters; unknown ids decode to the model's unknown sign;
@@ -25,7 +28,7 @@ from __future__ import annotations
 
 import re
 import struct
-from functools import lru_cache
+from collections import deque
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +44,8 @@ from .common import held, map_texts
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-#: Words whose paths a worker remembers; the memory is emptied when full.
-MEMO = 250_000
+#: Parts of texts whose paths a worker remembers, and characters of the longest one; the memory is emptied when full.
+MEMO, MEMO_CHARS = 250_000, 48
 #: Fixed value: what the unknown piece decodes to where a model names nothing else.
 UNKNOWN_SIGN = " ⁇ "
 #: Fixed value: how much less than the lowest score an unknown character counts in unigram models.
@@ -139,117 +142,202 @@ class Rules:
         return b"".join(out).decode("utf-8", "replace")
 
 
-class Transducer:
-    def __init__(self, path: str):
-        with open(path, "rb") as f:
-            self.model = m = Model(f.read())
-        usable = {p: i for i, (p, _, k) in enumerate(m.pieces) if k in (NORMAL, USER)}
-        if any(k == USER for _, _, k in m.pieces):
+class Spacer:
+    """States, and for each state and a space or another character: the next state, what is written before it, and what becomes of it (None: itself)."""
+
+    EMPTY, TEXT, SPACES = range(3)
+
+    def __init__(self, model: Model):
+        self.runs = re.compile(" +|[^ ]+").findall
+        mark = MARK if model.escape else " "
+        lead = mark if model.dummy_prefix else ""
+        self.arcs = {(self.EMPTY, False): (self.TEXT, lead, None), (self.TEXT, False): (self.TEXT, "", None)}
+        if model.trim:
+            self.arcs |= {(self.EMPTY, True): (self.EMPTY, "", ""), (self.SPACES, True): (self.SPACES, "", "")}
+            self.arcs |= {(self.TEXT, True): (self.SPACES, "", ""), (self.SPACES, False): (self.TEXT, mark, None)}
+        else:
+            self.arcs |= {(self.EMPTY, True): (self.TEXT, lead, mark), (self.TEXT, True): (self.TEXT, "", mark)}
+
+    def read(self, text: str, state: int) -> str:
+        out = []
+        for run in self.runs(text):
+            for c in run if run[0] == " " else (run,):
+                # The characters after the first of a word are copied in the text state.
+                state, before, instead = self.arcs[state, c == " "]
+                out += (before, c if instead is None else instead)
+        return "".join(out)
+
+
+#: States: no piece was written that matters; the unknown piece was the last.
+START, UNKNOWN_LAST = -1, -2
+#: Arcs of a pair-encoding model that a worker remembers.
+ARCS = 400_000
+
+
+class PieceArcs:
+    """The piece transducer.  Its states are places in ``ids``, START or UNKNOWN_LAST."""
+
+    def __init__(self, model: Model):
+        usable = {p: i for i, (p, _, k) in enumerate(model.pieces) if k == NORMAL}
+        score = {p: s for p, s, k in model.pieces if k == NORMAL}
+        if any(k == USER for _, _, k in model.pieces):
             raise ValueError("user-defined pieces aren't known")
-        self.bytes = {int(p[1:-1], 16): i for i, (p, _, k) in enumerate(m.pieces) if k == BYTE}
-        self.unknown = next(i for i, (_, _, k) in enumerate(m.pieces) if k == UNKNOWN)
-        self.rules = Rules(m.rules) if m.rules else None
-        score = {p: s for p, s, k in m.pieces if k == NORMAL}
+        self.bytes = {int(p[1:-1], 16): i for i, (p, _, k) in enumerate(model.pieces) if k == BYTE}
+        self.unknown = next(i for i, (_, _, k) in enumerate(model.pieces) if k == UNKNOWN)
+        self.fallback = model.byte_fallback
+        #: The weight of an arc for a character that is no piece.
+        self.strange = UNKNOWN_PENALTY - min(score.values(), default=0.0)
         self.chars = {p for p in usable if len(p) == 1}
-        if m.kind == BPE:
+        self.pairs = None
+        if model.kind == BPE:
             # The higher the score of the merged piece, the earlier the merge.
             self.pairs = PairAutomaton(usable, lambda a, b: -score[a + b] if a + b in score else None)
-            self.ids = [usable[t] for t in self.pairs.tokens]
+            tokens, self.ends = self.pairs.tokens, self.pairs.ends
+        else:
+            import ahocorasick
+
+            tokens, self.ends = list(usable), ahocorasick.Automaton(ahocorasick.STORE_ANY)
+            for i, t in enumerate(tokens):
+                self.ends.add_word(t, (i, len(t)))
+            if tokens:
+                self.ends.make_automaton()
+        self.ids, self.weights = [usable[t] for t in tokens], [-score[t] for t in tokens]
+
+        #: All weights of a unigram model, those met so far of a pair-encoding one, by state and piece; unigram states fall together.
+        self.arcs: dict[int, float] = {} if self.pairs else dict(enumerate(self.weights))
+        self.mask = -1 if self.pairs else (1 << 20) - 1
+
+    def weight(self, state: int, place: int) -> float:
+        """The weight of the arc of a piece; infinity if there is none."""
+        absent = self.pairs is not None and state >= 0 and not self.pairs.fits(self.pairs.tokens[state], self.pairs.tokens[place])
+        if len(self.arcs) >= ARCS:
+            self.arcs.clear()
+        w = self.arcs[(state << 20 | place) & self.mask] = float("inf") if absent else self.weights[place]
+        return w
+
+    def strange_character(self, char: str, after_unknown: bool) -> list[int]:
+        """The ids of the arc of a character that is no piece."""
+        if self.fallback:
+            return [self.bytes[b] for b in char.encode()]
+        # Neighbouring unknown characters are one unknown piece.
+        return [] if after_unknown else [self.unknown]
+
+
+def shortest_path(arcs: PieceArcs, text: str) -> list[int]:
+    """The ids along the path of least weight; of equal ones the one whose last piece starts first.
+
+    Arcs into a place are taken in the order of places, so what leads to their start is settled.  Both kinds of models
+    have one state at each place: unigram models have no other, and pair encodings have one last piece of each prefix.
+    """
+    n, inf = len(text), float("inf")
+    cost, last, back = [0.0] + [inf] * n, [START] * (n + 1), [0] * (n + 1)
+    known, weight, mask, one, ids = arcs.arcs.get, arcs.weight, arcs.mask, arcs.pairs is not None, arcs.ids
+    strange = deque([n] if arcs.chars.issuperset(text) else [*(i for i, c in enumerate(text) if c not in arcs.chars), n])
+    next_ = strange[0]
+    for end, (t, size) in arcs.ends.iter(text) if ids else ():
+        while next_ <= end:
+            _step_over(arcs, strange.popleft(), cost, last, back)
+            next_ = strange[0]
+        j = end + 1
+        if one and cost[j] < inf:
+            continue
+        i = j - size
+        w = known((last[i] << 20 | t) & mask)
+        total = cost[i] + (weight(last[i], t) if w is None else w)
+        if total < cost[j]:
+            cost[j], last[j], back[j] = total, t, i
+    while len(strange) > 1:
+        _step_over(arcs, strange.popleft(), cost, last, back)
+    out, j = [], n
+    while j:
+        i, t = back[j], last[j]
+        if t >= 0:
+            out.append(ids[t])
         else:
-            self.weights = {p: -s for p, s in score.items()}
-            self.longest = max(map(len, score), default=1)
-            self.strange = UNKNOWN_PENALTY - min(score.values(), default=0.0)
-        #: The lattice falls apart before each run of space marks, unless a piece goes on past one.
-        self.apart = not any(MARK in p.lstrip(MARK) for p in usable)
-        self.words_of = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+").findall if self.apart else lambda t: [t] if t else []
-        self.known = re.compile("|".join(["[" + "".join(map(re.escape, sorted(self.chars))) + "]+", "."]), re.S).findall if self.chars else None
-        self.memo: dict[str, tuple[int, ...]] = {}
-        mark = MARK.encode()
-        table = [p.encode().replace(mark, b" ") if m.escape else p.encode() for p, _, _ in m.pieces]
+            out += arcs.strange_character(text[i], last[i] == UNKNOWN_LAST)[::-1]
+        j = i
+    return out[::-1]
+
+
+def _step_over(arcs: PieceArcs, i: int, cost: list[float], last: list[int], back: list[int]) -> None:
+    """The arc of the strange character at a place, into the starting state."""
+    if cost[i] + arcs.strange < cost[i + 1]:
+        cost[i + 1], last[i + 1], back[i + 1] = cost[i] + arcs.strange, START if arcs.fallback else UNKNOWN_LAST, i
+
+
+class Transducer:
+    def __init__(self, path: str):
+        with open(path, "rb") as f:
+            self.model = m = Model(f.read())
+        self.rules = Rules(m.rules) if m.rules else None
+        self.spacer, self.arcs = Spacer(m), PieceArcs(m)
+        #: The lattice falls apart before each run of spaces, unless a piece goes on past one.
+        mark = MARK if m.escape else " "
+        self.apart = not any(mark in p.lstrip(mark) for p, _, k in m.pieces if k == NORMAL)
+        self.parts = re.compile(" *[^ ]+| +").findall
+        #: It also falls apart around line feeds, if they are bytes of their own whatever is beside them.
+        self.lines = m.byte_fallback and not m.trim and not any("\n" in p for p, _, k in m.pieces if k == NORMAL)
+        #: The paths of parts: of a text's start, of the rest without and with a space before them.
+        self.memo: tuple[dict[str, tuple[int, ...]], ...] = ({}, {}, {})
+        self.older: list[dict[str, tuple[int, ...]]] = [{}, {}, {}]
+        self.space = self.spacer.read(" x", Spacer.TEXT)[:-1]
+        table = [p.encode().replace(MARK.encode(), b" ") if m.escape else p.encode() for p, _, _ in m.pieces]
         for i, (p, _, k) in enumerate(m.pieces):
             table[i] = bytes([int(p[1:-1], 16)]) if k == BYTE else m.unknown_sign.encode() if k == UNKNOWN else b"" if k == CONTROL else table[i]
         self.written = table
 
-    def normalised(self, text: str) -> str:
-        """The text that the lattice is built over."""
-        m = self.model
-        if self.rules:
-            text = self.rules.apply(text)
-        if m.trim:
-            text = re.sub(" +", " ", text).strip(" ")
-        if not text:
-            return ""
-        if m.dummy_prefix:
-            text = " " + text
-        return text.replace(" ", MARK) if m.escape else text
-
-    def fallback(self, char: str) -> list[int]:
-        if self.model.byte_fallback:
-            return [self.bytes[b] for b in char.encode()]
-        return [self.unknown]
-
-    def word(self, text: str) -> tuple[int, ...]:
-        """The shortest path over a part of the lattice."""
-        found = self.memo.get(text)
+    def part(self, text: str, kind: int) -> tuple[int, ...]:
+        """The shortest path of the cascade composed with a part of a text; ``kind`` is its place in ``memo``."""
+        memo = self.memo[kind]
+        found = memo.get(text) or self.older[kind].get(text)
         if found is None:
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            found = self.memo[text] = tuple(self.paired(text) if self.model.kind == BPE else self.lightest(text))
-        return found
-
-    def paired(self, text: str) -> list[int]:
-        out: list[int] = []
-        for part in self.known(text):
-            if part[0] in self.chars:
-                out += [self.ids[t] for t in self.pairs.encode(part)]
+            if kind < 2:
+                read = self.spacer.read(text, Spacer.TEXT if kind else Spacer.EMPTY)
             else:
-                out += self.fallback(part)
-        return out
-
-    def lightest(self, text: str) -> list[int]:
-        """The path of least weight; of equal ones the one whose last piece starts first."""
-        n = len(text)
-        cost, back = [0.0] + [float("inf")] * n, [0] * (n + 1)
-        for j in range(1, n + 1):
-            for i in range(max(0, j - self.longest), j):
-                w = self.weights.get(text[i:j])
-                if w is None and j - i == 1:
-                    w = self.strange
-                if w is not None and cost[i] + w < cost[j]:
-                    cost[j], back[j] = cost[i] + w, i
-        spans, j = [], n
-        while j:
-            spans.append((back[j], j))
-            j = back[j]
-        out: list[int] = []
-        ids = self._usable()
-        strange = False
-        for i, j in reversed(spans):
-            p = text[i:j]
-            if p in ids:
-                out.append(ids[p])
-                strange = False
-            elif self.model.byte_fallback or not strange:
-                # Without byte pieces, neighbouring unknown characters are one unknown piece.
-                out += self.fallback(p)
-                strange = True
-        return out
+                # What the spacer writes for one space and a word is the same for all words.
+                read = self.spacer.read(" " + text, Spacer.TEXT) if not text or " " in text else self.space + text
+            found = tuple(shortest_path(self.arcs, read))
+        if len(text) <= MEMO_CHARS:
+            if len(memo) >= MEMO // 2:
+                # The half that was not asked for since the last time goes.
+                self.older[kind] = dict(memo)
+                memo.clear()
+            memo[text] = found
+        return found
 
-    @lru_cache(maxsize=1)  # noqa: B019
-    def _usable(self) -> dict[str, int]:
-        return {p: i for i, (p, _, k) in enumerate(self.model.pieces) if k == NORMAL}
+    def line(self, text: str, out: list[int], kind: int) -> None:
+        """The ids of a text that is cut before spaces; ``kind`` is that of its first part, if no space is before it."""
+        if text[0] == " " or text[-1] == " " or "  " in text:
+            first, *rest = self.parts(text)
+            if first[0] == " " and kind:
+                first, kind = first[1:], 2
+            rest = [w[1:] for w in rest]
+        else:
+            first, *rest = text.split(" ")
+        out += self.part(first, kind)
+        add, known, new = out.extend, self.memo[2].get, self.part
+        for w in rest:
+            found = known(w)
+            add(new(w, 2) if found is None else found)
 
     def encode(self, text: str) -> list[int]:
+        if self.rules:
+            text = self.rules.apply(text)
         out: list[int] = []
-        add, known, new = out.extend, self.memo.get, self.word
-        m = self.model
-        if self.apart and m.escape and m.dummy_prefix and not (self.rules or m.trim) and text and MARK not in text and "  " not in text and text[0] != " " and text[-1] != " ":
-            for w in text.split(" "):
-                w = MARK + w
-                add(known(w) or new(w))
+        if not text:
             return out
-        for w in self.words_of(self.normalised(text)):
-            add(known(w) or new(w))
+        # A space mark in the text may share a piece with the space beside it.
+        if not self.apart or MARK in text:
+            return shortest_path(self.arcs, self.spacer.read(text, Spacer.EMPTY))
+        first, *rest = text.split("\n") if self.lines else (text,)
+        if rest and not first:
+            out += shortest_path(self.arcs, self.spacer.arcs[Spacer.EMPTY, False][1])
+        if first:
+            self.line(first, out, 0)
+        for line in rest:
+            out += self.arcs.strange_character("\n", False)
+            if line:
+                self.line(line, out, 1)
         return out
 
     def decode(self, ids) -> str:
