@@ -33,6 +33,7 @@ from collections import deque
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,7 +46,7 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Parts of texts whose paths a worker remembers, and characters of the longest one; the memory is emptied when full.
-MEMO, MEMO_CHARS = 250_000, 48
+MEMO, MEMO_CHARS = 400_000, 32
 #: Fixed value: what the unknown piece decodes to where a model names nothing else.
 UNKNOWN_SIGN = " ⁇ "
 #: Fixed value: how much less than the lowest score an unknown character counts in unigram models.
@@ -277,6 +278,10 @@ class Transducer:
         self.parts = re.compile(" *[^ ]+| +").findall
         #: It also falls apart around line feeds, if they are bytes of their own whatever is beside them.
         self.lines = m.byte_fallback and not m.trim and not any("\n" in p for p, _, k in m.pieces if k == NORMAL)
+        #: And between letters and other characters, if no piece has both.
+        falls = regex.compile(r"\p{L}+|\P{L}+").findall
+        mixed = any(len(falls(p.lstrip(mark))) > 1 for p, _, k in m.pieces if k == NORMAL)
+        self.falls = falls if m.byte_fallback and not mixed else lambda text: [text]
         #: The paths of parts: of a text's start, of the rest without and with a space before them.
         self.memo: tuple[dict[str, tuple[int, ...]], ...] = ({}, {}, {})
         self.older: list[dict[str, tuple[int, ...]]] = [{}, {}, {}]
@@ -291,12 +296,16 @@ class Transducer:
         memo = self.memo[kind]
         found = memo.get(text) or self.older[kind].get(text)
         if found is None:
-            if kind < 2:
+            first, *rest = self.falls(text) if text and text[0] != " " else (text,)
+            if rest:
+                found = sum([self.part(x, 1) for x in rest], self.part(first, kind))
+            elif kind < 2:
                 read = self.spacer.read(text, Spacer.TEXT if kind else Spacer.EMPTY)
             else:
                 # What the spacer writes for one space and a word is the same for all words.
                 read = self.spacer.read(" " + text, Spacer.TEXT) if not text or " " in text else self.space + text
-            found = tuple(shortest_path(self.arcs, read))
+            if found is None:
+                found = tuple(shortest_path(self.arcs, read))
         if len(text) <= MEMO_CHARS:
             if len(memo) >= MEMO // 2:
                 # The half that was not asked for since the last time goes.
