@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .operators.combine import Part, combine, struct_wrap
+from .operators.interp import interpolate_nd, touched
 from .plans import predicate as P
 from .plans.scan import plan
 from .sources.datasource import INDEX, GridDataSource, leaf_schema, settings
@@ -48,7 +49,7 @@ def scan(spark: SparkSession, path: str, columns: Iterable[str] | None = None, w
     names = list(meta.columns()) if asked is None else meta.expand(asked)
     refs = where.refs if where is not None else set()
     read = list(dict.fromkeys([*names, *meta.expand(sorted(refs))]))
-    leaves = plan(meta, read, where, max_chunks, config["rising"], config["aliases"])
+    leaves = plan(meta, read, where, max_chunks, config["rising"], config["aliases"], config["within"])
     several = len(leaves) > 1
     parts = []
     for leaf in leaves:
@@ -92,25 +93,58 @@ def explain_chunks(spark: SparkSession, path: str, where: P.Predicate | str | No
     names = list(meta.columns()) if columns is None else meta.expand(list(columns))
     names = list(dict.fromkeys([*names, *meta.expand(sorted(where.refs if where is not None else set()))]))
     rows = []
-    for leaf in plan(meta, names, where, config["max_chunks"], config["rising"], config["aliases"]):
+    for leaf in plan(meta, names, where, config["max_chunks"], config["rising"], config["aliases"], config["within"]):
         for index, box in leaf.chunks.items():
             whole = leaf.grid.chunk_box(index)
             rows.append((list(leaf.grid.dims), sorted(leaf.arrays), list(index), [lo for lo, _ in whole], list(leaf.grid.chunk), [hi - lo for lo, hi in box], list(leaf.grid.shard_of(index)) if leaf.grid.shard else None, leaf.grid.total))
     return spark.createDataFrame(rows, "dims array<string>, variables array<string>, indices array<long>, origin array<long>, shape array<long>, touched array<long>, shard array<long>, total long")
 
 
+def interpolate(spark: SparkSession, path: str, coords: list[str], values: list[str], targets: DataFrame, group_dims: Iterable[str] = (), where: P.Predicate | str | None = None, period: dict[str, float] | None = None, **options) -> DataFrame:
+    """Values of a store interpolated at targets: only chunks that hold a corner of some target are read."""
+    if "version" in options:
+        path = resolve(path, options.pop("version"))
+    others = [c for c in targets.columns if c in load(path).dims and c not in coords]
+    columns = list(dict.fromkeys([*coords, *others, *group_dims, *values]))
+    if where is not None:
+        # A predicate may leave values of an axis out: brackets are then between those that are left, and it alone plans the chunks.
+        return interpolate_nd(scan(spark, path, columns, where, **options), coords, values, targets, list(group_dims), period=period)
+    within, axes = touched(path, coords, values, targets, period)
+    source = scan(spark, path, columns, within=json.dumps(within), **options)
+    return interpolate_nd(source, coords, values, targets, list(group_dims), period=period, axes=axes)
+
+
+def explain_interpolation(spark: SparkSession, path: str, coords: list[str], values: list[str], targets: DataFrame, period: dict[str, float] | None = None, **options) -> DataFrame:
+    """The chunks that ``interpolate`` would read, as in explain_chunks."""
+    if "version" in options:
+        path = resolve(path, options.pop("version"))
+    within, _ = touched(path, coords, values, targets, period)
+    return explain_chunks(spark, path, None, values, within=json.dumps(within), **options)
+
+
+def iter_arrow(df: DataFrame, batch_size: int = 50_000) -> Iterator:
+    """The rows as Arrow batches of up to ``batch_size`` rows, one partition of the result on the driver at a time."""
+    import pyarrow as pa
+
+    schema = df.limit(0).toArrow().schema
+
+    def packed(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, batch_size):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, batch.schema) as out:
+                    out.write_batch(batch.slice(start, batch_size))
+                yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["ipc"])
+
+    for row in df.mapInArrow(packed, "ipc binary").toLocalIterator(prefetchPartitions=True):
+        for batch in pa.ipc.open_stream(row.ipc):
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(batch.columns, schema)], schema=schema)
+
+
 def iter_batches(df: DataFrame, batch_size: int = 50_000, n_rows: int | None = None) -> Iterator:
-    """The rows as pandas frames of up to ``batch_size`` rows, fetched partition by partition."""
-    import pandas as pd
-
-    held: list = []
-    for row in (df if n_rows is None else df.limit(n_rows)).toLocalIterator(prefetchPartitions=True):
-        held.append(row)
-        if len(held) == batch_size:
-            yield pd.DataFrame(held, columns=df.columns)
-            held = []
-    if held:
-        yield pd.DataFrame(held, columns=df.columns)
+    """The rows as pandas frames of up to ``batch_size`` rows, from Arrow batches."""
+    for batch in iter_arrow(df if n_rows is None else df.limit(n_rows), batch_size):
+        yield batch.to_pandas()
 
 
 async def collect_async(df: DataFrame):

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Leaves of up to so many cells are broadcast to the leaf whose dimensions cover theirs.
-BROADCAST_CELLS = 2_000_000
+#: Leaves of up to so many bytes are broadcast to the leaf whose dimensions cover theirs; text counts as TEXT_BYTES.
+BROADCAST_BYTES, TEXT_BYTES = 64 << 20, 256
 
 
 @dataclass
@@ -25,6 +27,11 @@ class Part:
         return [self.key + d for d in dims]
 
 
+def row_bytes(df: DataFrame) -> int:
+    """About the bytes of a row of a leaf."""
+    return 16 + sum(TEXT_BYTES if isinstance(f.dataType, (T.StringType, T.BinaryType, T.ArrayType, T.StructType)) else 8 for f in df.schema.fields)
+
+
 def grid_join(left: Part, right: Part) -> Part:
     """Full outer join on shared dimensions with coalesced keys and coordinates.
 
@@ -36,7 +43,7 @@ def grid_join(left: Part, right: Part) -> Part:
     covered = set(right.dims) <= set(left.dims)
     other = right.df.withColumnsRenamed({d: f"__r_{d}" for d in shared if d not in keys})
     if covered:
-        out = left.df.join(F.broadcast(other) if right.cells <= BROADCAST_CELLS else other, on=keys, how="left")
+        out = left.df.join(F.broadcast(other) if right.cells * row_bytes(other) <= BROADCAST_BYTES else other, on=keys, how="left")
         out = out.drop(*[f"__r_{d}" for d in shared])
     else:
         out = left.df.join(other, on=keys, how="full")
@@ -49,17 +56,44 @@ def diagonal_concat(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
+def join_groups(parts: list[Part]) -> list[list[Part]]:
+    """Leaves that share dimensions, directly or through others, together; the largest first."""
+    groups: list[list[Part]] = []
+    for p in sorted(parts, key=lambda p: (-len(p.dims), -p.cells)):
+        near = [g for g in groups if any(set(p.dims) & set(q.dims) for q in g)]
+        groups = [g for g in groups if g not in near] + [[q for g in near for q in g] + [p]]
+    return groups
+
+
+def join_tree(parts: list[Part]) -> Part:
+    """One table of leaves that hang together.
+
+    Leaves whose dimensions a larger one covers are joined to it first, so that they are looked up and never widen a
+    full join.  What is left is split on the dimension that most leaves have: both sides are joined in themselves, and
+    then with each other on all dimensions they share.
+    """
+    tops: list[Part] = []
+    for p in sorted(parts, key=lambda p: (-len(p.dims), -p.cells)):
+        home = next((i for i, t in enumerate(tops) if set(p.dims) <= set(t.dims)), None)
+        if home is None:
+            tops.append(p)
+        else:
+            tops[home] = grid_join(tops[home], p)
+    if len(tops) == 1:
+        return tops[0]
+    counts = Counter(d for t in tops for d in t.dims)
+    common = max(counts, key=lambda d: (counts[d], -list(counts).index(d)))
+    inside = [t for t in tops if common in t.dims]
+    outside = [t for t in tops if common not in t.dims]
+    tree = reduce(grid_join, inside)
+    for group in join_groups(outside):
+        tree = grid_join(tree, join_tree(group))
+    return tree
+
+
 def combine(parts: list[Part]) -> DataFrame:
     """Leaves that share dimensions, directly or through others, are joined; groups that don't are concatenated."""
-    rest = sorted(parts, key=lambda p: (-len(p.dims), -p.cells))
-    out: list[Part] = []
-    while rest:
-        tree = rest.pop(0)
-        while (nxt := next((p for p in rest if set(p.dims) & set(tree.dims)), None)) is not None:
-            rest.remove(nxt)
-            tree = grid_join(tree, nxt)
-        out.append(tree)
-    return diagonal_concat([p.df for p in out])
+    return diagonal_concat([join_tree(g).df for g in join_groups(parts)])
 
 
 def struct_wrap(df: DataFrame, names: list[str], separator: str = "/") -> DataFrame:

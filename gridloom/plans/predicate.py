@@ -295,16 +295,16 @@ def _regions(t: list, axes: Axes) -> tuple[Region, Region]:
     if kind in ("and", "or", "xor"):
         (t1, f1), (t2, f2) = _regions(t[1], axes), _regions(t[2], axes)
         if kind == "and":
-            out = t1.intersect(t2), f1.union(f2)
+            out = t1.meet(t2), f1.union(f2)
         elif kind == "or":
-            out = t1.union(t2), f1.intersect(f2)
+            out = t1.union(t2), f1.meet(f2)
         else:
-            out = t1.intersect(f2).union(f1.intersect(t2)), t1.intersect(t2).union(f1.intersect(f2))
+            out = t1.meet(f2).union(f1.meet(t2)), t1.meet(t2).union(f1.meet(f2))
         return out[0].coarsened(), out[1].coarsened()
     if kind == "case":
         (pt, _), (xt, xf), (yt, yf) = (_regions(x, axes) for x in t[1:])
         # The last branch is also taken where the condition is null, so it isn't narrowed.
-        return pt.intersect(xt).union(yt).coarsened(), pt.intersect(xf).union(yf).coarsened()
+        return pt.meet(xt).union(yt).coarsened(), pt.meet(xf).union(yf).coarsened()
     if kind == "lit":
         return {True: (full, none), False: (none, full), None: (none, none)}[t[1]]
     name = t[2] if kind in ("cmp", "is") else t[1]

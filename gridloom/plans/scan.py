@@ -51,11 +51,13 @@ def leaves_of(meta: GridMeta, names: list[str]) -> list[tuple[ChunkGrid, dict[st
     return [(ChunkGrid(dims, shape, tuple(max(1, c) for c in chunk), shard), arrays) for (dims, shape, chunk, shard), arrays in found.items()]
 
 
-def plan(meta: GridMeta, names: list[str], where: Predicate | None, max_chunks: int | None = None, rising=(), aliases=None) -> list[Leaf]:
+def plan(meta: GridMeta, names: list[str], where: Predicate | None, max_chunks: int | None = None, rising=(), aliases=None, within: dict | None = None) -> list[Leaf]:
+    """The leaves with the chunks where the predicate may hold, inside the saved region ``within``."""
     axes = axes_of(meta, where.refs if where is not None else set(), rising, aliases)
     region = where.regions(axes)[0] if where is not None else Region.full(axes.space)
+    if within is not None:
+        region = region.intersect(Region.loads(axes.space, within))
     out = [Leaf(grid, arrays, grid.select(region.project(grid.dims)) if grid.dims else ({} if region.is_empty else {(): ()})) for grid, arrays in leaves_of(meta, names)]
-    # A leaf of one dimension alone is not read for its coordinate if a larger one covers it.
     total = sum(len(leaf.chunks) for leaf in out)
     if max_chunks is not None and total > max_chunks:
         raise TooManyChunks(f"{total} chunks would be read, {max_chunks} are allowed")

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
-
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -129,10 +129,38 @@ def filter_duration(spark, d):
     return age.where((col("age") < dt.timedelta(days=3)).column).select("event_id")
 
 
-@query("SELECT event_id, value IS NULL AS no_value, coalesce(isnan(value), false) AS nan_value FROM events WHERE value IS NOT NULL OR value IS NULL")
+_GAPS = "(SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL WHEN event_id % 5 = 0 THEN 'NaN'::DOUBLE WHEN event_id % 7 = 0 THEN 'Infinity'::DOUBLE WHEN event_id % 11 = 0 THEN '-Infinity'::DOUBLE ELSE value END AS value FROM events)"
+
+
+def _with_gaps(spark, d):
+    """Events of which some values are null, NaN or infinite."""
+    k = F.col("event_id")
+    odd = F.when(k % 3 == 0, F.lit(None)).when(k % 5 == 0, F.lit(float("nan"))).when(k % 7 == 0, F.lit(float("inf"))).when(k % 11 == 0, F.lit(float("-inf"))).otherwise(F.col("value"))
+    return t(spark, d, "events").select("event_id", odd.alias("value"))
+
+
+@query(f"SELECT event_id, value IS NULL AS no_value, coalesce(isnan(value), false) AS nan_value FROM {_GAPS} WHERE value IS NULL OR isnan(value)")
 def filter_null_nan(spark, d):
     v = col("value")
-    return t(spark, d, "events").where((v.is_not_null() | v.is_null()).column).select("event_id", v.is_null().column.alias("no_value"), F.coalesce(v.is_nan().column, F.lit(False)).alias("nan_value"))
+    return _with_gaps(spark, d).where((v.is_null() | v.is_nan()).column).select("event_id", v.is_null().column.alias("no_value"), F.coalesce(v.is_nan().column, F.lit(False)).alias("nan_value"))
+
+
+@query(f"SELECT event_id FROM {_GAPS} WHERE value IS NOT NULL AND NOT isnan(value)")
+def filter_not_null_not_nan(spark, d):
+    v = col("value")
+    return _with_gaps(spark, d).where((v.is_not_null() & v.is_not_nan()).column).select("event_id")
+
+
+@query(f"SELECT event_id, value > 0 AS above FROM {_GAPS} WHERE isinf(value)")
+def filter_infinite(spark, d):
+    return _with_gaps(spark, d).where(col("value").is_infinite().column).select("event_id", (F.col("value") > 0).alias("above"))
+
+
+@query("SELECT l_orderkey, l_linenumber FROM (SELECT *, CASE WHEN l_orderkey % 4 > 0 THEN l_linenumber END AS line FROM lineitem) WHERE line IS NULL OR line = 3")
+def filter_null_keys(spark, d):
+    """Null keys, and keys beyond the declared axis, are found by a scan of a table as a grid."""
+    lines = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_orderkey") % 4 > 0, F.col("l_linenumber")).alias("line"))
+    return TableGrid(lines, {"line": Axis(0, 2, 1)}).scan(col("line").is_null() | (col("line") == 3), ["l_orderkey", "l_linenumber"])
 
 
 @query("SELECT event_id FROM events WHERE isfinite(value) AND value > 1")
@@ -331,6 +359,24 @@ def agg_item(spark, d):
     return t(spark, d, "orders").groupBy("o_orderkey").agg(A.item(F.col("o_totalprice")).alias("only"))
 
 
+@query("SELECT n_regionkey, len(g)::BIGINT AS n, g[1] AS lowest, g[-1] AS highest FROM (SELECT n_regionkey, list(i ORDER BY i) AS g FROM (SELECT n_regionkey, row_number() OVER (ORDER BY n_nationkey) - 1 AS i FROM nation) GROUP BY 1)")
+def agg_groups(spark, d):
+    """The row numbers of each group."""
+    rows = t(spark, d, "nation").withColumn("i", (F.row_number().over(Window.orderBy("n_nationkey")) - 1).cast("long"))
+    return rows.groupBy("n_regionkey").agg(A.agg_groups("i").alias("g")).select("n_regionkey", F.size("g").cast("long").alias("n"), F.get("g", F.lit(0)).alias("lowest"), F.element_at("g", -1).alias("highest"))
+
+
+@query("SELECT l_orderkey, bool_and(coalesce(l_quantity >= before, true)) AS rising FROM (SELECT l_orderkey, l_quantity, lag(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS before FROM lineitem) GROUP BY 1")
+def agg_is_sorted(spark, d):
+    return t(spark, d, "lineitem").groupBy("l_orderkey").agg(A.is_sorted(F.col("l_quantity"), "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity").alias("rising"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, abs(l_discount - l_tax) <= greatest(0.25::DOUBLE * greatest(abs(l_discount), abs(l_tax)), 0.001::DOUBLE) AS near FROM lineitem")
+def is_close(spark, d):
+    near = lists.is_close(F.col("l_discount"), F.col("l_tax"), 0.25, 0.001)
+    return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", near.alias("near"))
+
+
 # Windows.
 
 _W = "PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity"
@@ -377,6 +423,11 @@ def win_unique_first(spark, d):
     return _win(spark, d, uniq=W.is_unique("l_partkey", "l_suppkey"), first_of=W.is_first_distinct(["l_returnflag"], ["l_orderkey", *_ORDER]))
 
 
+@query("SELECT l_orderkey, l_linenumber, l_partkey, count(*) OVER (PARTITION BY l_partkey, l_linenumber) > 1 AS again, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey DESC, l_linenumber DESC, l_suppkey DESC, l_extendedprice DESC, l_quantity DESC) = 1 AS last_of FROM lineitem")
+def win_duplicated_last(spark, d):
+    return _win(spark, d, again=W.is_duplicated("l_partkey", "l_linenumber"), last_of=W.is_last_distinct(["l_partkey"], ["l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", "l_quantity"]))
+
+
 # Lists, structs, casts, strings, selectors.
 
 
@@ -398,9 +449,9 @@ def struct_ops(spark, d):
     return wrapped.where("s.c_acctbal > 0").select("c_custkey", F.col("s").getField("c_name").alias("c_name"), F.col("s.c_acctbal").alias("c_acctbal"))
 
 
-@query("SELECT p_partkey, upper(p_brand) AS brand FROM part WHERE p_type LIKE '%STEEL%' OR starts_with(p_name, 'a')")
+@query("SELECT p_partkey, upper(p_brand) AS brand FROM part WHERE p_type LIKE '%ROM%' OR starts_with(p_name, 'red')")
 def string_post_filter(spark, d):
-    return t(spark, d, "part").where(F.col("p_type").contains("STEEL") | F.col("p_name").startswith("a")).select("p_partkey", F.upper("p_brand").alias("brand"))
+    return t(spark, d, "part").where(F.col("p_type").contains("ROM") | F.col("p_name").startswith("red")).select("p_partkey", F.upper("p_brand").alias("brand"))
 
 
 @query("SELECT l_orderkey, l_partkey, l_suppkey FROM lineitem")
@@ -419,10 +470,21 @@ def selector_algebra(spark, d):
     return s.select(t(spark, d, "orders"))
 
 
+@query("SELECT o_orderkey, o_custkey, o_orderstatus FROM orders")
+def selector_index_xor(spark, d):
+    """Columns by place, what only one of two selectors has, and nothing."""
+    s = (selectors.by_index(0, 1, 3) ^ selectors.by_index(2, 3)) | selectors.empty()
+    return s.select(t(spark, d, "orders"))
+
+
 @query("SELECT p_partkey, p_size * 2 AS doubled FROM part")
 def udf_vectorised(spark, d):
     """An opaque Python function, run on Arrow batches."""
-    doubled = F.pandas_udf(lambda x: x * 2, "int", F.PandasUDFType.SCALAR)
+
+    @F.pandas_udf("int")
+    def doubled(x: pd.Series) -> pd.Series:
+        return x * 2
+
     return t(spark, d, "part").select("p_partkey", doubled("p_size").alias("doubled"))
 
 
@@ -483,6 +545,18 @@ def geo_wrap_neighbors(spark, d):
     return _flat(interpolate_geospatial(grid, "lat", "lon", ["v"], at), "p_partkey", "v").withColumn("v", F.round("v", 6))
 
 
+@query(
+    "SELECT p_partkey, round((1 - w) * (i * i) + w * (((i + 1) % 8) * ((i + 1) % 8)) + lat, 6) AS v FROM (SELECT p_partkey, lat, floor(l / 45.0)::BIGINT AS i, l / 45.0 - floor(l / 45.0) AS w"
+    " FROM (SELECT p_partkey, p_size % 9 * 10.0 - 40 AS lat, (p_partkey * 7 % 360 + 180.0) % 360 AS l FROM part))"
+)
+def geo_signed(spark, d):
+    """A grid of longitudes from -180 to 135 degrees, and places from 0 to 360."""
+    column, row = F.col("id") % 8, F.floor(F.col("id") / 8)
+    grid = spark.range(40).select((row * 20.0 - 40).cast("double").alias("lat"), (column * 45.0 - 180).alias("lon"), (column * column + row * 20.0 - 40).cast("double").alias("v"))
+    at = t(spark, d, "part").select("p_partkey", (F.col("p_size") % 9 * 10.0 - 40).alias("lat"), (F.col("p_partkey") * 7 % 360).cast("double").alias("lon"))
+    return _flat(interpolate_geospatial(grid, "lat", "lon", ["v"], at), "p_partkey", "v").withColumn("v", F.round("v", 6))
+
+
 @query("SELECT user_id, hour, round(total, 4) AS total, round(sum(total) OVER (PARTITION BY user_id ORDER BY hour), 4) AS running FROM (SELECT user_id, date_part('hour', ts)::INTEGER AS hour, sum(value) AS total FROM events GROUP BY 1, 2)")
 def event_grid(spark, d):
     """Events as a grid of (user, hour), with a running total."""
@@ -587,3 +661,74 @@ def store_chunks(spark, d):
 def store_unplanned(spark, d):
     """What can't be planned is filtered all the same, also under OR."""
     return _scan(spark, ["temperature"], "temperature > 700 OR y = 4.5").agg(F.count("*").alias("n"), F.sum("temperature").alias("total"))
+
+
+def _points(spark, d, columns: int) -> DataFrame:
+    """Places on the store's y and x, the latter falling, in its first rows only."""
+    return t(spark, d, "part").select("p_partkey", (F.col("p_size") % 7 * 0.4).alias("y"), (F.col("p_partkey") % columns * 15.0).alias("x"))
+
+
+@query("SELECT p_partkey, round((2 * (p_size % 7 * 0.8 * 12 + 11 - p_partkey % 8 * 1.5))::DOUBLE, 6) AS surface FROM part")
+def interp_store(spark, d):
+    """Interpolated over a store, of which only the chunks that hold a bracket are read."""
+    out = api.interpolate(spark, _store(scratch_url(spark)), ["y", "x"], ["surface"], _points(spark, d, 8), version="main")
+    return _flat(out, "p_partkey", "surface").withColumn("surface", F.round("surface", 6))
+
+
+@query("SELECT p_partkey, i::BIGINT AS i, j::BIGINT AS j, round(((i * 3 + j) * 120 + p_size % 7 * 0.8 * 12 + 11 - p_partkey % 8 * 1.5)::DOUBLE, 6) AS v FROM part, range(4) a(i), range(3) b(j)")
+def interp_store_groups(spark, d):
+    """Dimensions of the store that the places lack stay."""
+    out = api.interpolate(spark, _store(scratch_url(spark)), ["y", "x"], ["temperature"], _points(spark, d, 8), ["time", "lead"], version="main")
+    i = (F.unix_micros(F.col("time").cast("timestamp")) - F.unix_micros(F.lit("2024-01-01 00:00:00").cast("timestamp"))) / 21_600_000_000
+    return _flat(out, "p_partkey", "time", "lead", "temperature").select("p_partkey", i.cast("long").alias("i"), F.extract(F.lit("HOUR"), F.col("lead")).cast("long").alias("j"), F.round("temperature", 6).alias("v"))
+
+
+@query(
+    "WITH p AS (SELECT p_size % 7 * 0.8 AS k, 11 - p_partkey % 3 * 1.5 AS l FROM part), y AS (SELECT floor(k) AS k, l FROM p UNION SELECT ceil(k), l FROM p), c AS (SELECT k, floor(l) AS l FROM y UNION SELECT k, ceil(l) FROM y)"
+    " SELECT DISTINCT k::BIGINT // 4 AS y_chunk, l::BIGINT // 5 AS x_chunk FROM c"
+)
+def interp_chunks(spark, d):
+    """The chunks of a 4-D variable that interpolation at some places would read, without its other dimensions."""
+    plan = api.explain_interpolation(spark, _store(scratch_url(spark)), ["y", "x"], ["temperature"], _points(spark, d, 3), version="main")
+    return plan.select(F.get("indices", F.lit(2)).alias("y_chunk"), F.get("indices", F.lit(3)).alias("x_chunk")).distinct()
+
+
+def _odd_arrays(w: GridWriter) -> None:
+    """A coordinate in no order, a dimension without coordinate, and three leaves in a chain."""
+    u, v, z, q = 9, 6, 4, 5
+    w.array("u", np.arange(u) * 4 % 9 * 10, ["u"], (4,))
+    w.array("v", np.arange(v) * 1.5, ["v"])
+    w.array("q", np.arange(q) + 100, ["q"])
+    w.array("uv", np.arange(u * v, dtype="f8").reshape(u, v), ["u", "v"], (2, 4))
+    w.array("vz", np.arange(v * z, dtype="f8").reshape(v, z), ["v", "z"], (3, 3))
+    w.array("zq", np.arange(z * q, dtype="f8").reshape(z, q), ["z", "q"], (2, 5))
+    w.consolidate()
+
+
+@lru_cache(maxsize=4)
+def _odd_store(root: str) -> str:
+    url = f"{root}/gridloom-odd-{uuid.uuid4().hex}"
+    commit(url, _odd_arrays)
+    return url
+
+
+def _odd(spark, columns, where=None):
+    return api.scan(spark, _odd_store(scratch_url(spark)), columns, where, version="main")
+
+
+@query("SELECT (i * 4 % 9 * 10)::BIGINT AS u, j * 1.5::DOUBLE AS v, (i * 6 + j)::DOUBLE AS uv FROM range(9) a(i), range(6) b(j) WHERE i * 4 % 9 * 10 BETWEEN 20 AND 50 AND j > 2")
+def store_unsorted_coordinate(spark, d):
+    """A box over a coordinate that neither rises nor falls."""
+    return _odd(spark, ["u", "v", "uv"], col("u").between(20, 50) & (col("v") > 3.0))
+
+
+@query("SELECT j * 1.5::DOUBLE AS v, k::BIGINT AS z, (j * 4 + k)::DOUBLE AS vz FROM range(6) b(j), range(4) c(k) WHERE k >= 2 AND j < 3")
+def store_index_only(spark, d):
+    """A dimension without a coordinate has its indices as values."""
+    return _odd(spark, ["v", "z", "vz"], (col("z") >= 2) & (col("v") < 4.5))
+
+
+@query("SELECT (i * 4 % 9 * 10)::BIGINT AS u, j * 1.5::DOUBLE AS v, k::BIGINT AS z, (l + 100)::BIGINT AS q, (i * 6 + j)::DOUBLE AS uv, (j * 4 + k)::DOUBLE AS vz, (k * 5 + l)::DOUBLE AS zq FROM range(9) a(i), range(6) b(j), range(4) c(k), range(5) e(l)")
+def store_chain(spark, d):
+    """Leaves over (u, v), (v, z) and (z, q), joined on what neighbours share."""
+    return _odd(spark, ["u", "v", "z", "q", "uv", "vz", "zq"])

@@ -2,13 +2,15 @@
 
 Options: path; vars (column paths, comma-separated); where (a predicate as text);
 maxChunks, maxChunkElements, batchRows, partitionRows, assumeSorted ("all", "none"
-or dimensions), codec.alias.<name>, index ("true": adds ``__i_<dim>`` columns).
+or dimensions), codec.alias.<name>, coordCacheEntries and chunkCacheEntries (what a
+worker keeps, 0 for all; chunks only if given), within (boxes, see plans.region), index ("true": adds ``__i_<dim>`` columns).
 A schema given by the caller restricts what is read.  Filters that Spark pushes
 down prune chunks too; all are applied again by Spark.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,6 +37,9 @@ def settings(options) -> dict:
         "batch": int(low.get("batchrows", 50_000)),
         "part": int(low.get("partitionrows", 2_000_000)),
         "rising": rising if rising in ("all", "none") else tuple(x.strip() for x in rising.split(",")),
+        "coord_entries": int(low.get("coordcacheentries", 256)),
+        "chunk_entries": int(low["chunkcacheentries"]) if "chunkcacheentries" in low else None,
+        "within": json.loads(low["within"]) if "within" in low else None,
         "index": low.get("index", "false") == "true",
         "decode_timedelta": low.get("decodetimedelta", "true") == "true",
     }
@@ -118,6 +123,8 @@ class GridReader(DataSourceReader):
 
         axes = axes_of(self.meta, self.where.refs if self.where is not None else set(), self.set["rising"], self.set["aliases"])
         region = self.where.regions(axes)[0] if self.where is not None else Region.full(axes.space)
+        if self.set["within"] is not None:
+            region = region.intersect(Region.loads(axes.space, self.set["within"]))
         chunks = self.grid.select(region.project(self.grid.dims)) if self.grid.dims else ({} if region.is_empty else {(): ()})
         if self.set["max_chunks"] is not None and len(chunks) > self.set["max_chunks"]:
             raise TooManyChunks(f"{len(chunks)} chunks would be read, {self.set['max_chunks']} are allowed")
@@ -150,12 +157,12 @@ def read_rows(meta: GridMeta, dims: tuple[str, ...], arrays: dict[str, ArrayMeta
     cols = []
     for f in schema:
         if f.name in arrays:
-            cols.append(read_box(meta.url, arrays[f.name], box, options["aliases"], options["limit"]).reshape(-1))
+            cols.append(read_box(meta.url, arrays[f.name], box, options["aliases"], options["limit"], options["chunk_entries"]).reshape(-1))
             continue
         dim = f.name.removeprefix(INDEX)
         at = dims.index(dim)
         lo, hi = box[at]
-        own = coordinate(meta.url, meta.coords[dim], options["aliases"])[lo:hi] if dim in meta.coords and f.name == dim else np.arange(lo, hi)
+        own = coordinate(meta.url, meta.coords[dim], options["aliases"], options["coord_entries"])[lo:hi] if dim in meta.coords and f.name == dim else np.arange(lo, hi)
         cols.append(np.broadcast_to(own.reshape([-1 if i == at else 1 for i in range(len(dims))]), shape).reshape(-1))
     n = int(np.prod(shape, dtype=np.int64))
     for start in range(0, n, options["batch"]):

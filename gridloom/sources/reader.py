@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import struct
-from functools import lru_cache
+from collections import OrderedDict
 
 import numpy as np
 
@@ -30,28 +29,61 @@ def fill_array(meta: ArrayMeta, shape: tuple[int, ...]) -> np.ndarray:
     return np.full(shape, 0 if fill is None else fill, meta.numpy_dtype)
 
 
-@lru_cache(maxsize=256)
+class Cache:
+    """The last ``entries`` values asked for in this process (0: all of them), by keys that change when the objects read are written again."""
+
+    def __init__(self, entries: int):
+        self.entries, self.held = entries, OrderedDict()
+
+    def get(self, key: tuple, stamps: list[tuple | None], make, entries: int | None = None):
+        """The value of ``make``; it isn't kept if a store can't tell its objects' stamps."""
+        if any(s is None for s in stamps):
+            return make()
+        key = (*key, tuple(stamps))
+        if key in self.held:
+            self.held.move_to_end(key)
+            return self.held[key]
+        value = self.held[key] = make()
+        limit = self.entries if entries is None else entries
+        while limit and len(self.held) > limit:
+            self.held.popitem(last=False)
+        return value
+
+
+#: Coordinates, indexes of shards, and decoded chunks; the last are kept only where a scan asks for it.
+_COORDS, _SHARDS, _CHUNKS = Cache(256), Cache(4096), Cache(4096)
+
+
 def _shard_index(url: str, key: str, chunks: int, at_end: bool, checked: bool) -> np.ndarray | None:
     """(offset, length) of every inner chunk of a shard."""
     size = 16 * chunks + 4 * checked
-    data = open_store(url).part(key, -size if at_end else 0, size)
-    if data is None:
-        return None
-    return np.frombuffer(data[: 16 * chunks], "<u8").reshape(-1, 2)
+
+    def read():
+        data = open_store(url).part(key, -size if at_end else 0, size)
+        return None if data is None else np.frombuffer(data[: 16 * chunks], "<u8").reshape(-1, 2)
+
+    return _SHARDS.get((url, key, chunks, at_end, checked), [open_store(url).stamp(key)], read)
 
 
 _MISSING = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def read_chunk(url: str, meta: ArrayMeta, index: tuple[int, ...], aliases: dict[str, str] | None = None, limit: int = 50_000_000) -> np.ndarray:
-    """One (inner) chunk at its nominal shape, raw."""
+def read_chunk(url: str, meta: ArrayMeta, index: tuple[int, ...], aliases: dict[str, str] | None = None, limit: int = 50_000_000, cached: int | None = None) -> np.ndarray:
+    """One (inner) chunk at its nominal shape, raw; with ``cached``, so many chunks are kept (0: all)."""
     if int(np.prod(meta.chunk, dtype=np.int64)) > limit:
         raise ChunkTooLarge(f"{meta.path}: a chunk of {meta.chunk} has more than {limit} elements")
     store, aliases = open_store(url), aliases or {}
-    data = _inner(store, url, meta, index) if meta.shard else store.get(meta.key(index).lstrip("/"))
-    if data is None:
-        return fill_array(meta, meta.chunk)
-    return decode(data, list(meta.codecs), meta.numpy_dtype, meta.chunk, aliases)
+
+    def read():
+        data = _inner(store, url, meta, index) if meta.shard else store.get(meta.key(index).lstrip("/"))
+        if data is None:
+            return fill_array(meta, meta.chunk)
+        return decode(data, list(meta.codecs), meta.numpy_dtype, meta.chunk, aliases)
+
+    if cached is None:
+        return read()
+    outer = tuple(i * c // s for i, c, s in zip(index, meta.chunk, meta.shard)) if meta.shard else index
+    return _CHUNKS.get((url, meta.path, str(meta), index, tuple(sorted(aliases.items()))), [store.stamp(meta.key(outer).lstrip("/"))], read, cached)
 
 
 def _inner(store: Store, url: str, meta: ArrayMeta, index: tuple[int, ...]) -> bytes | None:
@@ -66,16 +98,16 @@ def _inner(store: Store, url: str, meta: ArrayMeta, index: tuple[int, ...]) -> b
     return None if offset == _MISSING else store.part(key, int(offset), int(length))
 
 
-def read_box(url: str, meta: ArrayMeta, box: tuple[tuple[int, int], ...], aliases: dict[str, str] | None = None, limit: int = 50_000_000) -> np.ndarray:
+def read_box(url: str, meta: ArrayMeta, box: tuple[tuple[int, int], ...], aliases: dict[str, str] | None = None, limit: int = 50_000_000, cached: int | None = None) -> np.ndarray:
     """Decoded values of a box, from however many chunks it lies over."""
     shape = tuple(hi - lo for lo, hi in box)
     if not meta.shape:
-        return meta.encoding.decode(read_chunk(url, meta, (), aliases, limit).reshape(1)).reshape(())
+        return meta.encoding.decode(read_chunk(url, meta, (), aliases, limit, cached).reshape(1)).reshape(())
     out = None
     spans = [range(lo // c, -(-hi // c)) for (lo, hi), c in zip(box, meta.chunk)]
     for index in np.ndindex(*[len(s) for s in spans]):
         at = tuple(s[i] for s, i in zip(spans, index))
-        chunk = read_chunk(url, meta, at, aliases, limit)
+        chunk = read_chunk(url, meta, at, aliases, limit, cached)
         src, dst = [], []
         for i, c, (lo, hi) in zip(at, meta.chunk, box):
             a, b = max(lo, i * c), min(hi, (i + 1) * c)
@@ -88,35 +120,19 @@ def read_box(url: str, meta: ArrayMeta, box: tuple[tuple[int, int], ...], aliase
     return meta.encoding.decode(out if out is not None else np.empty(shape, meta.numpy_dtype))
 
 
-@lru_cache(maxsize=256)
-def _coords(url: str, path: str, stamp: str, holder) -> np.ndarray:
-    meta, aliases = holder.value
-    return read_box(url, meta, ((0, meta.shape[0]),), dict(aliases))
-
-
-class _Holder:
-    """Carries what isn't part of a cache's key."""
-
-    def __init__(self, value):
-        self.value = value
-
-    def __eq__(self, other):
-        return isinstance(other, _Holder)
-
-    def __hash__(self):
-        return 0
-
-
-def coordinate(url: str, meta: ArrayMeta, aliases: dict[str, str] | None = None) -> np.ndarray:
-    """All values of a 1-D array, remembered in this process."""
-    return _coords(url, meta.path, f"{meta.shape}{meta.encoding}", _Holder((meta, tuple((aliases or {}).items()))))
+def coordinate(url: str, meta: ArrayMeta, aliases: dict[str, str] | None = None, entries: int | None = None) -> np.ndarray:
+    """All values of a 1-D array, remembered in this process until one of its objects is written again."""
+    store, named = open_store(url), tuple(sorted((aliases or {}).items()))
+    step = meta.shard or meta.chunk
+    stamps = [store.stamp(meta.key((i,)).lstrip("/")) for i in range(-(-meta.shape[0] // max(1, step[0])))]
+    return _COORDS.get((url, meta.path, str(meta), named), stamps, lambda: read_box(url, meta, ((0, meta.shape[0]),), dict(named)), entries)
 
 
 def cache_stats() -> dict[str, int]:
-    return {"coordinates": _coords.cache_info().currsize, "shard_indexes": _shard_index.cache_info().currsize}
+    return {"coordinates": len(_COORDS.held), "shard_indexes": len(_SHARDS.held), "chunks": len(_CHUNKS.held)}
 
 
 def clear_caches() -> None:
-    _coords.cache_clear()
-    _shard_index.cache_clear()
+    for c in (_COORDS, _SHARDS, _CHUNKS):
+        c.held.clear()
     open_store.cache_clear()

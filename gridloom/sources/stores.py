@@ -20,6 +20,10 @@ class Store:
         start = start if start >= 0 else len(data) + start
         return data[start : start + length]
 
+    def stamp(self, key: str) -> tuple | None:
+        """What changes when an object is written again (empty for a missing object), or None if that can't be told."""
+        return None
+
     def children(self, key: str) -> list[str]:
         raise NotImplementedError
 
@@ -49,6 +53,13 @@ class LocalStore(Store):
         except FileNotFoundError:
             return None
 
+    def stamp(self, key):
+        try:
+            s = os.stat(self._path(key))
+        except (FileNotFoundError, NotADirectoryError):
+            return ()
+        return s.st_size, s.st_mtime_ns, s.st_ino
+
     def children(self, key):
         try:
             return sorted(e.name for e in os.scandir(self._path(key)) if e.is_dir())
@@ -85,6 +96,10 @@ class ArrowStore(Store):
         except FileNotFoundError:
             return None
 
+    def stamp(self, key):
+        info = self.fs.get_file_info(f"{self.root}/{key}")
+        return (info.size, info.mtime_ns) if info.is_file else ()
+
     def children(self, key):
         from pyarrow import fs
 
@@ -132,4 +147,7 @@ def scratch_url(spark) -> str:
     """A folder that all executors share: ``spark.checkpoint.dir``, or a local one where it is unset."""
     import tempfile
 
-    return (spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/gridloom-scratch").rstrip("/")
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return (found or f"{tempfile.gettempdir()}/gridloom-scratch").rstrip("/")

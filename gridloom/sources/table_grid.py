@@ -47,13 +47,28 @@ class TableGrid:
         return self.df.sparkSession.createDataFrame(rows, ", ".join(f"{d}_chunk long" for d in self.axes))
 
     def scan(self, where: Predicate, columns: list[str] | None = None) -> DataFrame:
-        """The rows where the predicate holds; the planned bounds of each key are filters that reach the files."""
-        boxes = self.region(where).boxes
+        """The rows where the predicate holds; the planned bounds of each key are filters that reach the files.
+
+        Bounds are planned over all whole numbers, so keys beyond an axis are found, and tests for null are not planned.
+        """
+        keys = range(-(1 << 62), (1 << 62) - 1)
+        space = Space(tuple(self.axes), tuple(len(keys) for _ in self.axes))
+        boxes = Predicate(_null_tests_unplanned(where.tree)).regions(Axes(space, {d: keys for d in self.axes}))[0].boxes
         df = self.df
-        for i, (d, a) in enumerate(self.axes.items()):
+        for i, d in enumerate(self.axes):
             if not boxes:
                 return df.where(F.lit(False)).select(*(columns or df.columns))
             lo, hi = min(b[i][0] for b in boxes), max(b[i][1] for b in boxes)
-            if (lo, hi) != (0, a.size):
-                df = df.where((F.col(d) >= a.origin + lo) & (F.col(d) < a.origin + hi))
+            if lo > 0:
+                df = df.where(F.col(d) >= keys[lo])
+            if hi < len(keys):
+                df = df.where(F.col(d) < keys[hi])
         return df.where(where.column).select(*(columns or df.columns))
+
+
+def _null_tests_unplanned(tree: list) -> list:
+    """The predicate with its tests for null as SQL, which may hold anywhere."""
+    if tree[0] == "is" and tree[1] in ("null", "not_null"):
+        name = ".".join(f"`{x}`" for x in tree[2].split("."))
+        return ["sql", f"{name} IS {'' if tree[1] == 'null' else 'NOT '}NULL", [tree[2]]]
+    return [_null_tests_unplanned(x) if isinstance(x, list) and tree[0] not in ("in", "sql") else x for x in tree]

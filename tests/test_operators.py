@@ -1,5 +1,6 @@
 import datetime as dt
 import math
+import random
 
 import numpy as np
 import pytest
@@ -81,3 +82,47 @@ def test_stream_of_an_appended_grid(spark, tmp_path):
         assert sorted(r.v for r in spark.table("grown").collect()) == [float(i) for i in range(15)]
     finally:
         q.stop()
+
+
+def test_table_grid_finds_what_the_predicate_finds(spark):
+    """Null keys and keys beyond the axis too, for random predicates."""
+    rng = random.Random(4)
+    keys = [None, -3, 0, 5, 7, 42, 49, 50, 99, 100, 150, 200, 10**15]
+    df = spark.createDataFrame([(k, j) for k in keys for j in (None, 1, 2)], "k long, j long").cache()
+    grid = TableGrid(df, {"k": Axis(0, 100, 10), "j": Axis(0, 2, 1)})
+
+    def predicate(depth):
+        c, n = (g.col("k"), rng.choice([-5, 5, 50, 99, 150])) if rng.random() < 0.7 else (g.col("j"), rng.choice([0, 1, 2]))
+        if depth == 0 or rng.random() < 0.3:
+            return rng.choice([lambda: c < n, lambda: c >= n, lambda: c == n, lambda: c != n, lambda: c.is_null(), lambda: c.is_not_null(), lambda: c.is_in([n, 7, None]), lambda: g.lit(True)])()
+        a, b = predicate(depth - 1), predicate(depth - 1)
+        return rng.choice([lambda: a & b, lambda: a | b, lambda: a ^ b, lambda: ~a, lambda: g.when(a, b, predicate(0))])()
+
+    for where in [g.col("k").is_null(), g.col("k") < 50, g.col("k") >= 150, g.col("k").is_null() | (g.col("k") == 5), *(predicate(2) for _ in range(30))]:
+        assert sorted(map(str, grid.scan(where).collect())) == sorted(map(str, df.where(where.column).collect())), where.tree
+
+
+def test_leaves_in_a_chain(spark):
+    def leaf(dims, sizes, name):
+        df = spark.range(1)
+        for d, n in zip(dims, sizes):
+            df = df.crossJoin(spark.range(n).select(F.col("id").alias(f"__i_{d}"), (F.col("id") * 10).alias(d)))
+        return Part(df.drop("id").withColumn(name, sum(F.col(f"__i_{d}") * 7**i for i, d in enumerate(dims))), dims, int(math.prod(sizes)))
+
+    out = combine([leaf(("a", "b"), (3, 2), "p"), leaf(("c", "d"), (4, 5), "r"), leaf(("b", "c"), (2, 4), "q"), leaf(("b",), (2,), "s"), leaf(("c", "b"), (4, 2), "u")])
+    rows = out.collect()
+    assert len(rows) == 3 * 2 * 4 * 5
+    for r in rows:
+        a, b, c, d = (r[x] // 10 for x in "abcd")
+        assert (r.p, r.q, r.r, r.s, r.u) == (a + 7 * b, b + 7 * c, c + 7 * d, b, c + 7 * b)
+
+
+def test_wide_regions_meet_quickly():
+    where = g.col("a").is_in(list(range(0, 8000, 2))) & g.col("b").is_in(list(range(0, 8000, 2)))
+    from gridloom.plans.predicate import Axes
+    from gridloom.plans.region import Space
+
+    space = Space(("a", "b"), (8000, 8000))
+    yes, _ = where.regions(Axes(space, {"a": range(8000), "b": range(8000)}))
+    assert 0 < len(yes.boxes) <= 4096
+    assert all(any(lo <= i < hi and lo2 <= j < hi2 for (lo, hi), (lo2, hi2) in yes.boxes) for i, j in [(0, 0), (4000, 2), (7998, 7998)])

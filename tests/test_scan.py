@@ -165,3 +165,54 @@ def test_blosc():
     frame = bytes([2, 1, 1 | 4 << 5, 4]) + struct.pack("<III", 8000, 8000, 20 + len(body)) + struct.pack("<I", 20) + body
     assert codecs.blosc_decode(frame) == data.tobytes()
     assert codecs.crc32c(b"123456789") == 0xE3069283
+
+
+def test_a_store_written_again_is_read_again(spark, tmp_path):
+    root = str(tmp_path / "again")
+
+    def write(first):
+        w = GridWriter(root)
+        w.array("x", np.arange(6) + first, ["x"], (4,))
+        w.array("v", np.arange(6, dtype="f8") + first, ["x"], (3,), (6,))
+        w.consolidate()
+
+    write(0)
+    options = {"chunkCacheEntries": 10, "coordCacheEntries": 1}
+    assert rows(g.scan(spark, root, where=g.col("x") >= 4, **options)) == [(4, 4.0), (5, 5.0)]
+    write(100)
+    assert rows(g.scan(spark, root, where=g.col("x") >= 104, **options)) == [(104, 104.0), (105, 105.0)]
+    assert rows(g.scan(spark, root, **options))[0] == (100, 100.0)
+
+
+def test_caches_are_bounded():
+    from gridloom.sources.reader import Cache
+
+    c, made = Cache(2), []
+    for k in (1, 2, 1, 3, 1, 2):
+        c.get((k,), [()], lambda k=k: made.append(k))
+    assert made == [1, 2, 3, 2] and len(c.held) == 2
+    c.get((9,), [None], lambda: made.append(9))
+    assert len(c.held) == 2
+    for k in range(5):
+        c.get((k,), [()], lambda: 0, 0)
+    assert len(c.held) == 5
+
+
+def test_interpolation_reads_the_chunks_of_its_targets(spark, store):
+    root, data = store
+    at = spark.createDataFrame([(2.5, 3.0), (3.0, 3.5)], "a double, b double")
+    chunks = g.explain_interpolation(spark, root, ["a", "b"], ["data"], at)
+    assert sorted({(r.indices[0], r.indices[1]) for r in chunks.collect()}) == [(1, 1), (1, 2)] and chunks.count() == 6
+    out = {(r.a, r.b, r.c): r.data for r in g.interpolate(spark, root, ["a", "b"], ["data"], at, ["c"]).select("interpolated.*").collect()}
+    assert len(out) == 12 and out[2.5, 3.0, 4] == 25304.0 and out[3.0, 3.5, 0] == 30350.0
+    exact = g.interpolate(spark, root, ["b"], ["surface"], spark.createDataFrame([(4.5, 2), (1.0, 99)], "b double, c long")).select("interpolated.*").collect()
+    got = {r.c: r.surface for r in exact}
+    assert got[2] == 452.5 and np.isnan(got[99])
+    cut = g.interpolate(spark, root, ["b"], ["surface"], spark.createDataFrame([(3.0, 0)], "b double, c long"), where=(g.col("b") == 0) | (g.col("b") == 9))
+    assert abs(cut.first().interpolated.surface - 300.5) < 1e-9
+
+
+def test_arrow_batches(spark, store):
+    root, _ = store
+    batches = list(g.iter_arrow(g.scan(spark, root, ["b", "surface"]), 25))
+    assert sum(b.num_rows for b in batches) == 60 and max(b.num_rows for b in batches) <= 25 and batches[0].schema.names == ["b", "surface"]
