@@ -52,8 +52,10 @@ class MinHash:
     #: Places of the ring, as a power of two.
     ring_bits: int = 20
     seed: int = 20_251
-    #: Keys up to this many are broadcast; more are joined by shuffle.
+    #: Keys or buckets up to this many are broadcast; more are joined by shuffle.
     broadcast_keys: int = 500_000
+    #: Members of a bucket that one task compares with all others of it.
+    share: int = 256
 
 
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], dtype=np.uint64)
@@ -206,6 +208,17 @@ def _mixed(members: DataFrame, linked: DataFrame) -> DataFrame:
     return named.join(mixed, "bucket")
 
 
+def _dealt(left: DataFrame, right: DataFrame, p: MinHash) -> tuple[DataFrame, DataFrame]:
+    """Both sides with a ``part``: the left members of a large bucket are dealt to parts, each of which has all right ones."""
+    parts = right.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / p.share).cast("int").alias("parts")).where("parts > 1")
+    few = small(parts, p.broadcast_keys)
+    parts = F.broadcast(parts) if few else parts
+    of = F.pmod(F.xxhash64("digest_a"), F.coalesce("parts", F.lit(1))).cast("int")
+    left = left.join(parts, "bucket", "left").withColumn("part", of).drop("parts")
+    every = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))
+    return left, right.join(parts, "bucket", "left").withColumn("part", every).drop("parts")
+
+
 def _open(left: DataFrame, rest: DataFrame, p: MinHash, once: bool = False) -> DataFrame:
     """Pairs (a, b) of a bucket in different components that may still be similar; with ``once``, a < b from their first shared bucket."""
     right = rest.select("bucket", *[F.col(c).alias(f"{c}_b") for c in ("digest", "component", "n", "c", *["bands"] * once)])
@@ -213,6 +226,9 @@ def _open(left: DataFrame, rest: DataFrame, p: MinHash, once: bool = False) -> D
     near = (F.col("component_a") != F.col("component_b")) & (100 * most >= p.percent * (F.col("n_a") + F.col("n_b") - most))
     if once:
         near = (F.col("digest_a") < F.col("digest_b")) & near & (F.array_intersect("bands_a", "bands_b")[0] == F.col("bucket"))
+    if once:
+        left, right = _dealt(left, right, p)
+        return left.join(right, ["bucket", "part"]).where(near).select(F.col("digest_a").alias("a"), F.col("digest_b").alias("b"))
     return left.join(right, "bucket").where(near).select(F.col("digest_a").alias("a"), F.col("digest_b").alias("b"))
 
 
@@ -253,7 +269,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rest = scratch.keep(rest.join(able, "digest").where(100 * F.col("c") >= p.percent * F.col("n")))
     # Again one class against all others of a bucket, now the one with the smallest share of shingles of its own.
     middles = rest.groupBy("bucket").agg(F.max(F.struct((F.col("c") / F.col("n")).alias("share"), "digest", "component", "n", "c")).alias("m"))
-    middles = middles.select("bucket", *[F.col(f"m.{c}").alias(f"{c}_a") for c in ("digest", "component", "n", "c")])
+    middles = scratch.keep(middles.select("bucket", *[F.col(f"m.{c}").alias(f"{c}_a") for c in ("digest", "component", "n", "c")]))
+    # One class for each bucket: rows of a large bucket stay where they are.
+    middles = F.broadcast(middles) if small(middles, p.broadcast_keys, F.lit(128)) else middles
     links, linked = _linked(links, linked, _open(middles, rest, p).select("a", "b"), texts, p, scratch)
     # And what is still open, pair by pair; common shingles only get fewer as components grow.
     rest = scratch.keep(_mixed(rest.drop("component"), linked))
@@ -264,7 +282,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     whole = classes.select("digest", "rep").join(linked.withColumnRenamed("node", "digest"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
     names = whole.groupBy("component").agg(F.min("rep").alias("component_id"))
     verdicts = scratch.keep(whole.join(names, "component").select("digest", "component_id"))
-    scratch.drop(texts, stars)
+    scratch.only(signed, verdicts)
     own = signed.select("id", "key", "n_shingles", "digest").join(verdicts, "digest", "left")
     own = own.withColumn("component_id", F.when(F.col("digest").isNull(), F.col("id")).otherwise(F.col("component_id")))
     return own.select("key", F.col("id").alias(doc_id), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))

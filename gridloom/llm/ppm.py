@@ -3,7 +3,7 @@
 Training texts are cut into lower-cased words.  A byte-context trie counts, for
 every place in the stream of words, the next byte after the up to ``order`` bytes
 before it (contexts run across words, or start at the word's start if
-``across_words`` is unset).  A byte is coded in the longest context
+``across_words`` is false).  A byte is coded in the longest context
 seen; if that context has not seen it, an escape is coded and the next shorter
 context is used without the bytes already excluded; after the empty context come
 all bytes alike.  The escape of a context is estimated by its distinct bytes.
@@ -46,11 +46,10 @@ class Model:
     #: Bytes of context, 6 at most: a node and its length are one long.
     order: int = 4
     #: Whether contexts hold the end of the word before.
-    across_words: bool = False
-    #: If set, nodes seen less than once in 2**share_bits symbols of the training texts are left out.
-    share_bits: int | None = None
-    #: Nodes and words seen less than once in 2**cache_bits symbols or tokens aren't broadcast.
+    across_words: bool = True
+    #: Nodes and words seen less than once in 2**cache_bits symbols or tokens aren't broadcast, nor are words of more bytes than these.
     cache_bits: int = 20
+    cache_word: int = 64
     #: Entries a task counts before it hands them on.
     memo: int = 600_000
 
@@ -207,13 +206,12 @@ def _bytes(node: int) -> bytes:
     return node.to_bytes((node.bit_length() + 7) // 8, "big")[1:]
 
 
-def _coded(counts: DataFrame, order: int, least: int) -> DataFrame:
+def _coded(counts: DataFrame, order: int) -> DataFrame:
     """(node, n, code): log10 of the probability of each node's last byte."""
     learned = counts.where("learned > 0").select("node", "learned", F.explode(F.sequence(F.lit(1), _size(F.col("node")))).alias("__size"))
     nodes = learned.select(_end(F.col("node"), F.col("__size")).alias("node"), "learned").groupBy("node").agg(F.sum("learned").alias("learned"))
     symbol, context = F.col("node").bitwiseAND(F.lit(255).cast("long")), F.shiftright("node", 8)
-    kept = F.when((F.col("learned") >= least) | (symbol == MARK), F.col("learned") * 256 + symbol)
-    contexts = nodes.groupBy(context.alias("context")).agg(F.sum("learned").alias("total"), F.collect_list(kept).alias("seen"))
+    contexts = nodes.groupBy(context.alias("context")).agg(F.sum("learned").alias("total"), F.collect_list(F.col("learned") * 256 + symbol).alias("seen"))
     contexts = contexts.withColumn("size", _size(F.col("context")))
     # Contexts of a byte or none, at most 257, are sent to all tasks.
     unpacked = lambda seen: {x & 255: x >> 8 for x in seen}
@@ -259,18 +257,17 @@ def score(docs: DataFrame, trains: Column, doc_id: str = "doc_id", text: str = "
     learned = rows.where("train")
     words = scratch.keep(_counted(learned.select("text"), "text", model.memo, _count_words))
     ends = learned.count()
-    n_words, distinct, symbols = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum(F.col("n") * (F.octet_length("item") + 1)), F.lit(0))).first()
+    n_words, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     tokens, kinds = n_words + ends, distinct + (ends > 0)
     floor = math.log10(tokens + 0.5 * (kinds + 1))
     log_c = lambda c: math.log10(c + 0.5) - floor
     order, across = model.order, model.across_words
-    least = max(1, math.ceil(symbols / (1 << model.share_bits))) if model.share_bits is not None else 1
     counts = scratch.keep(_node_counts(rows, order, across))
-    codes = scratch.keep(_coded(counts, order, least))
+    codes = scratch.keep(_coded(counts, order))
     # At most 2**cache_bits nodes, and as many words.
     held = codes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     cached = codes.where(F.col("n") >= held / (1 << model.cache_bits)).select("node", "code").toArrow().sort_by("node")
-    common = {bytes(r.item): log_c(r.n) for r in words.where(F.col("n") >= max(1, tokens / (1 << model.cache_bits))).toLocalIterator()}
+    common = {bytes(r.item): log_c(r.n) for r in words.where((F.col("n") >= max(1, tokens / (1 << model.cache_bits))) & (F.octet_length("item") <= model.cache_word)).toLocalIterator()}
     sent = spark.sparkContext.broadcast((cached["node"].to_numpy(), cached["code"].to_numpy(), common))
     end_base = log_c(ends)
 
@@ -329,5 +326,5 @@ def score(docs: DataFrame, trains: Column, doc_id: str = "doc_id", text: str = "
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     trains = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))) % 5 != 1
-    return score(docs, trains, model=Model(across_words=True))
+    return score(docs, trains, model=Model())
 

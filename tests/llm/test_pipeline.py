@@ -4,6 +4,9 @@ import public_tokenizers
 import sentencepiece
 
 import corpus_pipeline
+from gridloom.llm import lines
+
+from . import test_decontam, test_lines, test_quality
 
 
 def test_pipeline(spark, tmp_path):
@@ -58,3 +61,78 @@ def test_short_lines_are_deduplicated(spark, tmp_path):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     out = {r.doc_id: r.text for r in corpus_pipeline.drop_repeated_lines(spark, docs, str(tmp_path)).collect()}
     assert out == {1: rows[0][1], 2: "\nMenu now\nother"}
+
+
+def brute_pipeline(rows, items):
+    """The ids and texts that each stage keeps, by comparing everything with everything."""
+    hosts = {}
+    failed = {}
+    for i, t, host in rows:
+        n_words, chars, symbols, dups, repeated = test_quality.brute(t)
+        base = n_words < 50 or 100 * repeated > 50 * n_words
+        every = base or 100 * symbols > 10 * n_words or 100 * dups > 50 * n_words or not 2 * n_words <= chars <= 15 * n_words
+        failed[i] = base
+        if host is not None:
+            hosts.setdefault(host, []).append(every)
+    rates = {h: sum(x) / len(x) for h, x in hosts.items()}
+    mean = sum(rates.values()) / len(rates)
+    var = sum((r - mean) ** 2 for r in rates.values()) / len(rates)
+    weight = min(1000.0, max(2.0, mean * (1 - mean) / var - 1)) if var else 1000.0
+    bad = {h for h, x in hosts.items() if (sum(x) + mean * weight) / (len(x) + weight) > 0.6}
+    stages = [sorted((i, t) for i, t, h in rows if not failed[i] and h not in bad)]
+    cut = test_lines.brute([(i, t, None) for i, t in stages[-1]], lines.Lines())
+    stages.append(sorted((i, t) for i, t, n in cut if not n or t.split()))
+    sets = {}
+    for i, t in stages[-1]:
+        w = t.encode().lower().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    group = {i: i for i in sets}
+    for _ in sets:
+        for a in sets:
+            for b in sets:
+                if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                    group[a] = group[b] = min(group[a], group[b])
+    stages.append([(i, t) for i, t in stages[-1] if group[i] == i])
+    hit = {r[0] for r in test_decontam.brute([(i, t, None) for i, t in stages[-1]], items) if r[-1]}
+    stages.append([(i, t) for i, t in stages[-1] if i not in hit])
+    return stages
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    rng = random.Random(23)
+    word = lambda: "".join(rng.choice("abcdefghijklmé") for _ in range(rng.randint(2, 7)))
+    line = lambda n: [word() for _ in range(n)]
+    shared = [line(rng.randint(1, 14)) for _ in range(12)]
+    items = [(i, " ".join(line(rng.choice([4, 9, 12, 25])))) for i in range(6)]
+
+    def edited(w):
+        w = list(w)
+        for _ in range(rng.choice([0, 0, 1, 2])):
+            w[rng.randrange(len(w))] = word()
+        return w
+
+    rows = []
+    for i in range(70):
+        body = [edited(rng.choice(shared)) if rng.random() < 0.3 else line(rng.randint(3, 16)) for _ in range(rng.randint(3, 12))]
+        if rng.random() < 0.2:
+            body.insert(1, line(3) + [x.upper() if x.isascii() else x for x in items[rng.randrange(6)][1].split()] + line(2))
+        if rng.random() < 0.15:
+            body = [["spam", "spam", "###", "|"]] * 20
+        rows.append((i, "\n".join(" ".join(x) for x in body), rng.choice(["a", "b", "c", None])))
+    for i in range(70, 95):
+        # The words of an earlier one on lines of other lengths, with a few changes: near-duplicates past the line stage.
+        w = edited(edited(rng.choice(rows[:70])[1].split()))
+        rows.append((i, "\n".join(" ".join(w[k : k + 23]) for k in range(0, len(w), 23)), "d"))
+    rows += [(100 + i, "too short", "junk") for i in range(20)] + [(130, " ".join(line(70)), "junk"), (131, None, None), (132, "", "a")]
+    docs = spark.createDataFrame([(i, t, "en", h, len(t or "")) for i, t, h in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = brute_pipeline(rows, items)
+    now = docs
+    for (name, stage), kept in zip(corpus_pipeline.STAGES, want):
+        now = stage(spark, now, str(tmp_path))
+        assert sorted((r.doc_id, r.text) for r in now.collect()) == kept, name
+    assert [len(rows), *map(len, want)] == sorted([len(rows), *map(len, want)], reverse=True) and len(set(map(len, want))) == 4
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    out = sorted((r.doc_id, list(r.pieces)) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    assert out == [(i, model.encode(t)) for i, t in want[-1]]

@@ -42,20 +42,19 @@ def test_symbols_sum_to_one():
         assert math.isclose(sum(10 ** trie.symbol(c + bytes([s])) for s in symbols), 1, rel_tol=1e-9)
 
 
-@pytest.mark.parametrize("bits", [18, 6])
+@pytest.mark.parametrize("bits", [20, 6, 1])
 def test_against_naive(spark, bits):
     rng = random.Random(4)
     rows = [(i, " ".join(rng.choice(["The", "the", "né", "Éa", "cat", "x" * rng.randint(1, 9), "ing\n", "\x85"]) for _ in range(rng.randint(0, 25))), "s") for i in range(60)]
     rows += [(3, rows[3][1], "s"), (None, None, None), (70, "", "s"), (71, "word " * 4000 + "new", "s")]
     df = documents(spark, rows).selectExpr("*", "'x' as train", "1 as row", "2 as score")
     trains = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))) % 5 != 1
-    out = ppm.score(df, trains, model=ppm.Model(share_bits=bits)).collect()
+    out = ppm.score(df, trains, model=ppm.Model(across_words=False, cache_bits=bits, cache_word=2 * bits)).collect()
     learns = lambda i: zlib.crc32(("null" if i is None else str(i)).encode()) % 5 != 1
     words = lambda t: (t or "").encode().lower().split()
     trained = [t for i, t, _ in rows if learns(i)]
     c = Counter(w for t in trained for w in words(t))
-    symbols = sum(n * (len(w) + 1) for w, n in c.items())
-    _, scores = naive([t for _, t, _ in rows], trained, 4, max(1, math.ceil(symbols / 2**bits)))
+    _, scores = naive([t for _, t, _ in rows], trained, 4, 1)
     c[None] = len(trained)
     n, v = sum(c.values()), len(c)
     want = []
@@ -73,7 +72,7 @@ def test_whole_trie_at_any_size(spark):
     _, want = naive(texts, texts, 4, 1)
     _, cut = naive(texts, texts, 4, 3)
     assert abs(want[1] - cut[1]) > 1
-    for model in (ppm.Model(), ppm.Model(cache_bits=4)):
+    for model in (ppm.Model(across_words=False), ppm.Model(across_words=False, cache_bits=4)):
         out = {r.doc_id: r.score for r in ppm.score(documents(spark, rows), F.lit(True), model=model).collect()}
         assert all(math.isclose(out[i], s, rel_tol=1e-9) for i, s in enumerate(want))
 
