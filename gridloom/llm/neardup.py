@@ -201,11 +201,11 @@ def texts_of(docs: DataFrame, text: str, keys: DataFrame, p: MinHash) -> DataFra
     return found.select("digest", "text").dropDuplicates(["digest"])
 
 
-def _mixed(members: DataFrame, linked: DataFrame) -> DataFrame:
+def _mixed(members: DataFrame, linked: DataFrame, p: MinHash, scratch: Scratch) -> DataFrame:
     """Members (digest, bucket, ...) with their component, of the buckets that hold several components."""
     named = members.join(linked.withColumnRenamed("node", "digest"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
-    mixed = named.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
-    return named.join(mixed, "bucket")
+    mixed = scratch.keep(named.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket"))
+    return named.join(F.broadcast(mixed) if small(mixed, p.broadcast_keys) else mixed, "bucket")
 
 
 def _dealt(left: DataFrame, right: DataFrame, p: MinHash) -> tuple[DataFrame, DataFrame]:
@@ -264,7 +264,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     links = scratch.keep(verified(stars, texts, p))
     linked = components(links, scratch)
     # What is left in other components of the same bucket, where the shingles they have in common allow a link.
-    rest = scratch.keep(_mixed(shared.where("digest <> lead").select("digest", "n", "bucket"), linked))
+    rest = scratch.keep(_mixed(shared.where("digest <> lead").select("digest", "n", "bucket"), linked, p, scratch))
     able = common_counts(rest.select("digest", "component").distinct(), texts, p)
     rest = scratch.keep(rest.join(able, "digest").where(100 * F.col("c") >= p.percent * F.col("n")))
     # Again one class against all others of a bucket, now the one with the smallest share of shingles of its own.
@@ -274,7 +274,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     middles = F.broadcast(middles) if small(middles, p.broadcast_keys, F.lit(128)) else middles
     links, linked = _linked(links, linked, _open(middles, rest, p).select("a", "b"), texts, p, scratch)
     # And what is still open, pair by pair; common shingles only get fewer as components grow.
-    rest = scratch.keep(_mixed(rest.drop("component"), linked))
+    rest = scratch.keep(_mixed(rest.drop("component"), linked, p, scratch))
     # Each pair comes from the first bucket that both share: there either one led, and they were compared, or both are here.
     rest = rest.join(classes.select("digest", "bands"), "digest")
     left = rest.select("bucket", *[F.col(c).alias(f"{c}_a") for c in ("digest", "component", "n", "c", "bands")])
