@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -50,3 +52,13 @@ def is_first_distinct(cols: list[str], order: list[str]) -> Column:
 
 def is_last_distinct(cols: list[str], order: list[str]) -> Column:
     return F.row_number().over(Window.partitionBy(*cols).orderBy(*[F.col(c).desc() for c in order])) == 1
+
+
+def mark_first_distinct(df: DataFrame, cols: list[str], order: list[str], name: str, last: bool = False) -> DataFrame:
+    """``df`` with whether each row is the first (or last) of its key in an order that tells rows apart.
+
+    As is_first_distinct, but keys are aggregated before they are shuffled, so a hot key isn't sorted by one task.
+    """
+    ends = df.groupBy(*[F.col(c).alias(f"__k_{c}") for c in cols]).agg((F.max if last else F.min)(F.struct(*order)).alias("__end"))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__k_{c}")) for c in cols])
+    return df.join(ends, same).select(*df.columns, F.struct(*order).eqNullSafe(F.col("__end")).alias(name))

@@ -12,6 +12,10 @@ class TooManyChunks(ValueError):
     """More chunks than the caller allows would be read."""
 
 
+class InvalidShard(ValueError):
+    """A shard's shape isn't a multiple of its chunks'."""
+
+
 @dataclass(frozen=True)
 class ChunkGrid:
     """Arrays of one leaf: the same dimensions and the same chunk and shard shapes."""
@@ -24,8 +28,8 @@ class ChunkGrid:
     def __post_init__(self):
         if not len(self.dims) == len(self.shape) == len(self.chunk) or any(c <= 0 for c in self.chunk):
             raise ValueError(f"not a chunk grid: {self}")
-        if self.shard and any(s % c for s, c in zip(self.shard, self.chunk)):
-            raise ValueError(f"a shard holds whole chunks only: {self}")
+        if self.shard and (len(self.shard) != len(self.chunk) or any(s % c for s, c in zip(self.shard, self.chunk))):
+            raise InvalidShard(f"a shard holds whole chunks only: {self}")
 
     def chunk_box(self, index: tuple[int, ...]) -> Box:
         return tuple((i * c, min((i + 1) * c, n)) for i, c, n in zip(index, self.chunk, self.shape))

@@ -9,6 +9,7 @@ planned may be true and false everywhere.  Rows are always filtered again.
 from __future__ import annotations
 
 import datetime as dt
+import decimal
 import json
 import math
 from collections.abc import Callable, Iterable
@@ -43,6 +44,14 @@ def runs(mask: np.ndarray) -> list[tuple[int, int]]:
     return [(int(a), int(b)) for a, b in zip(edges[::2], edges[1::2])]
 
 
+class UnsupportedLiteral(TypeError):
+    """A column is compared with something that is no single value."""
+
+
+#: What a column can be compared with.
+LITERALS = (bool, int, float, str, bytes, dt.date, dt.datetime, dt.timedelta, decimal.Decimal, np.generic)
+
+
 def literal(value, like: np.ndarray):
     """A literal as compared with coordinates of an array's type; None if it can't be."""
     kind = like.dtype.kind
@@ -166,6 +175,8 @@ class Ref:
     def _cmp(self, op: str, value) -> Predicate:
         if isinstance(value, Ref):
             return Predicate(["cmp2", op, self.name, value.name])
+        if not (value is None or isinstance(value, LITERALS)):
+            raise UnsupportedLiteral(f"{self.name} {op} {type(value).__name__}")
         return Predicate(["cmp", op, self.name, value])
 
     def __eq__(self, v):  # type: ignore[override]

@@ -420,7 +420,9 @@ def win_shift_diff(spark, d):
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, count(*) OVER (PARTITION BY l_partkey, l_suppkey) = 1 AS uniq, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) = 1 AS first_of FROM lineitem")
 def win_unique_first(spark, d):
-    return _win(spark, d, uniq=W.is_unique("l_partkey", "l_suppkey"), first_of=W.is_first_distinct(["l_returnflag"], ["l_orderkey", *_ORDER]))
+    lines = t(spark, d, "lineitem").withColumn("uniq", W.is_unique("l_partkey", "l_suppkey"))
+    first = W.mark_first_distinct(lines, ["l_returnflag"], ["l_orderkey", *_ORDER], "first_of")
+    return first.select("l_orderkey", "l_linenumber", "l_partkey", "uniq", "first_of")
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, count(*) OVER (PARTITION BY l_partkey, l_linenumber) > 1 AS again, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey DESC, l_linenumber DESC, l_suppkey DESC, l_extendedprice DESC, l_quantity DESC) = 1 AS last_of FROM lineitem")

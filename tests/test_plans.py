@@ -2,6 +2,7 @@ import itertools
 import random
 
 import numpy as np
+import pytest
 
 from gridloom.plans import predicate as P
 from gridloom.plans.region import Region, Space
@@ -88,3 +89,16 @@ def test_region_algebra():
         assert {*x.negate().cells()} == {*Region.full(SPACE).cells()} - a
         assert {*x.project(["b"]).cells()} == {(j,) for _, j in a}
         assert a <= {*x.coarsened().cells()}
+
+
+def test_errors():
+    from gridloom.plans.chunks import ChunkGrid, InvalidShard
+    from gridloom.plans.predicate import UnsupportedLiteral
+
+    with pytest.raises(UnsupportedLiteral):
+        P.col("a") == {"x": 1}
+    with pytest.raises(UnsupportedLiteral):
+        P.col("a") < [1, 2]
+    for shard in ((4, 3), (4,)):
+        with pytest.raises(InvalidShard):
+            ChunkGrid(("a", "b"), (8, 8), (2, 2), shard)

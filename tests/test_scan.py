@@ -216,3 +216,29 @@ def test_arrow_batches(spark, store):
     root, _ = store
     batches = list(g.iter_arrow(g.scan(spark, root, ["b", "surface"]), 25))
     assert sum(b.num_rows for b in batches) == 60 and max(b.num_rows for b in batches) <= 25 and batches[0].schema.names == ["b", "surface"]
+
+
+def test_store_over_http(spark, store):
+    """A store that isn't a local folder: nothing can be listed, and what is read isn't cached."""
+    import functools
+    import http.server
+    import threading
+
+    root, data = store
+    quiet = type("Quiet", (http.server.SimpleHTTPRequestHandler,), {"log_message": lambda *a: None})
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), functools.partial(quiet, directory=root))
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        url = f"http://127.0.0.1:{server.server_address[1]}"
+        out = rows(g.scan(spark, url, ["a", "b", "c", "data"], (g.col("a") == 3) & (g.col("c") < 2)))
+        assert out == [(3, j, k, data[3, j, k]) for j in range(10) for k in range(2)]
+        with pytest.raises(KeyError):
+            g.scan(spark, url, ["nothing"])
+    finally:
+        server.shutdown()
+
+
+def test_unknown_struct_fields(spark, store):
+    root, _ = store
+    with pytest.raises(KeyError):
+        g.scan(spark, root, ["data"], g.col("data").field("x") > 1)
