@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, task
 
 
 def local_roots(edges: DataFrame) -> DataFrame:
@@ -40,7 +40,7 @@ def local_roots(edges: DataFrame) -> DataFrame:
             part = nodes[i : i + 20_000]
             yield pa.RecordBatch.from_arrays([pa.array(part, at), pa.array([find(x) for x in part], at)], names=["node", "root"])
 
-    return edges.select("a", "b").mapInArrow(run, f"node {kind}, root {kind}")
+    return edges.select("a", "b").mapInArrow(task(run), f"node {kind}, root {kind}")
 
 
 def components(edges: DataFrame, scratch: Scratch, rounds: int = 100) -> DataFrame:

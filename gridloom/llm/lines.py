@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, small, text_blocks
+from .common import Scratch, small, task, text_blocks
 
 
 @dataclass(frozen=True)
@@ -100,7 +100,7 @@ def occurrences(docs: DataFrame, p: Lines) -> DataFrame:
                     names=["id", "k", "no", "line", "halves"],
                 )
 
-    return docs.mapInArrow(run, out)
+    return docs.mapInArrow(task(run), out)
 
 
 def _looked_up(docs: DataFrame, wanted: DataFrame, p: Lines, how: str) -> DataFrame:
@@ -134,7 +134,7 @@ def _variants(texts: DataFrame) -> DataFrame:
                         rank.append(r)
                 yield pa.RecordBatch.from_arrays([pa.array(np.array(v, np.uint64).view(np.int64)), pa.array(at, pa.int32()), pa.array(rank, pa.int64())], names=["v", "at", "rank"])
 
-    return texts.select("rank", "words", "left", "right").mapInArrow(run, "v long, at int, rank long")
+    return texts.select("rank", "words", "left", "right").mapInArrow(task(run), "v long, at int, rank long")
 
 
 def _line_texts(docs: DataFrame) -> DataFrame:
@@ -151,7 +151,7 @@ def _line_texts(docs: DataFrame) -> DataFrame:
                             c.append(y)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.bool_(), pa.bool_()))], names=["rank", "words", "left", "right"])
 
-    return docs.select("text", "wanted").mapInArrow(run, "rank long, words binary, left boolean, right boolean")
+    return docs.select("text", "wanted").mapInArrow(task(run), "rank long, words binary, left boolean, right boolean")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -164,7 +164,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 near = [r for r, a, b in zip(part.column("rank").to_pylist(), lines, part.column("other").to_pylist()) if within_one(a.split(b" "), b.split(b" "))]
                 yield pa.RecordBatch.from_arrays([pa.array(near, pa.int64())], names=["rank"])
 
-    return both.mapInArrow(run, "rank long")
+    return both.mapInArrow(task(run), "rank long")
 
 
 def repeated_lines(docs: DataFrame, scratch: Scratch, p: Lines = Lines()) -> DataFrame:

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, held, map_texts, row_key, small, text_blocks
+from .common import Scratch, held, map_texts, row_key, small, task, text_blocks
 from .graph import components
 
 
@@ -171,7 +171,7 @@ def verified(pairs: DataFrame, texts: DataFrame, p: MinHash) -> DataFrame:
                         yes.append(i)
                 yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in yes], pa.binary()), pa.array([b[i] for i in yes], pa.binary())], names=["a", "b"])
 
-    return both.mapInArrow(run, out)
+    return both.mapInArrow(task(run), out)
 
 
 def close_sizes(x: str, y: str, p: MinHash):

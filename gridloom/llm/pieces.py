@@ -46,7 +46,7 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Parts of texts whose paths a worker remembers, and characters of the longest one; the memory is emptied when full.
-MEMO, MEMO_CHARS = 400_000, 32
+MEMO, MEMO_CHARS = 250_000, 32
 #: Fixed value: what the unknown piece decodes to where a model names nothing else.
 UNKNOWN_SIGN = " ⁇ "
 #: Fixed value: how much less than the lowest score an unknown character counts in unigram models.
@@ -172,7 +172,7 @@ class Spacer:
 #: States: no piece was written that matters; the unknown piece was the last.
 START, UNKNOWN_LAST = -1, -2
 #: Arcs of a pair-encoding model that a worker remembers.
-ARCS = 400_000
+ARCS = 200_000
 
 
 class PieceArcs:

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, map_texts, text_blocks
+from .common import Scratch, map_texts, task, text_blocks
 
 #: The space ends a word; a line feed marks a text's (or a word's) start in contexts and, as a symbol, the end of the text.
 SPACE, MARK = 0x20, 0x0A
@@ -167,7 +167,7 @@ def _counted(df: DataFrame, column: str, limit: int, count) -> DataFrame:
                     yield hand_on()
         yield hand_on()
 
-    return df.mapInArrow(run, out).groupBy("item").agg(F.sum("n").alias("n"))
+    return df.mapInArrow(task(run), out).groupBy("item").agg(F.sum("n").alias("n"))
 
 
 def _count_words(found: Counter, _, texts: list[bytes | None]) -> None:
@@ -187,7 +187,7 @@ def _node_counts(rows: DataFrame, order: int, across: bool) -> DataFrame:
                     both, n = np.unique(node << 1 | learns[of], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(both >> 1), pa.array(n), pa.array(n * (both & 1))], names=["node", "n", "learned"])
 
-    found = rows.select("text", "train").mapInArrow(run, "node long, n long, learned long")
+    found = rows.select("text", "train").mapInArrow(task(run), "node long, n long, learned long")
     return found.groupBy("node").agg(F.sum("n").alias("n"), F.sum("learned").alias("learned"))
 
 
@@ -243,7 +243,7 @@ def _coded(counts: DataFrame, order: int) -> DataFrame:
                     code.append(found[x["symbol"]])
             yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(times, pa.int64()), pa.array(code, pa.float64())], names=["node", "n", "code"])
 
-    return asked.select("context", "asked", *[f"s{k}" for k in range(2, order + 1)]).mapInArrow(run, "node long, n long, code double")
+    return asked.select("context", "asked", *[f"s{k}" for k in range(2, order + 1)]).mapInArrow(task(run), "node long, n long, code double")
 
 
 def score(docs: DataFrame, trains: Column, doc_id: str = "doc_id", text: str = "text", model: Model = Model()) -> DataFrame:
