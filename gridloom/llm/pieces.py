@@ -267,7 +267,8 @@ def _step_over(arcs: PieceArcs, i: int, cost: list[float], last: list[int], back
 
 
 class Transducer:
-    def __init__(self, path: str):
+    def __init__(self, path: str, memo: int = MEMO):
+        self.most = memo
         with open(path, "rb") as f:
             self.model = m = Model(f.read())
         self.rules = Rules(m.rules) if m.rules else None
@@ -307,7 +308,7 @@ class Transducer:
             if found is None:
                 found = tuple(shortest_path(self.arcs, read))
         if len(text) <= MEMO_CHARS:
-            if len(memo) >= MEMO // 2:
+            if len(memo) >= self.most // 2:
                 # The half that was not asked for since the last time goes.
                 self.older[kind] = dict(memo)
                 memo.clear()
@@ -359,18 +360,18 @@ class Transducer:
 
 
 @held
-def transducer(path: str) -> Transducer:
-    return Transducer(path)
+def transducer(path: str, memo: int = MEMO) -> Transducer:
+    return Transducer(path, memo)
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None = None, decoded: bool = False) -> DataFrame:
+def encode(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None = None, decoded: bool = False, memo: int = MEMO) -> DataFrame:
     """``keep`` columns with ``pieces``, the ids of each text; with ``decoded``, also the text that these decode to.
 
-    One pass does both, so a core needs one Python worker with one table of words.
+    ``memo`` parts of texts are remembered by a worker, which only saves time.  One pass does both, so a core needs one Python worker with one table of words.
     """
 
     def work():
-        both = transducer(path)
+        both = transducer(path, memo)
 
         def run(texts):
             ids = [both.encode(t.decode("utf-8", "replace")) if t else [] for t in texts]

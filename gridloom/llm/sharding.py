@@ -4,7 +4,9 @@ Leaves (region, rack, shard) draw exponential arrival times from a hash of the
 row's key and the leaf's path, scaled by the leaf's weight; a node's draw is the
 earliest of its subtree, which is exponential with the subtree's weight.  A row
 descends from the root to the child with the earliest draw at each level.  A
-weight that changes moves rows only into or out of that leaf's subtree.
+weight that changes moves rows only into or out of that leaf's subtree.  Each row
+takes one hash for each leaf, and the plan grows with the tree: it is meant for up
+to some hundred shards; for more, deal to groups of shards first and again within.
 
 Defined results: null keys share one draw; a null text has no bytes (size 1,
 CRC 0); equal rows are dealt alike and take neighbouring slots; an empty table

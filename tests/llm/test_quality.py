@@ -40,3 +40,10 @@ def test_hosts(spark):
     assert quality.judge(df.limit(0)).count() == 0
     many = quality.judge(df, rules=quality.Rules(broadcast_hosts=0)).collect()
     assert sorted(map(str, many)) == sorted(map(str, out))
+
+
+def test_very_long_texts(spark):
+    long = " ".join(f"w{i % 70_000}" for i in range(140_000))
+    out = {r.doc_id: r for r in quality.judge(documents(spark, [(1, long, "s"), (2, "x " * 200_000, "s"), (3, "#" * 500_000, "t")])).collect()}
+    assert (out[1].n_words, out[1].n_repeat_words, out[1].base_failed) == (140_000, 140_000, True)
+    assert (out[2].n_words, out[2].n_repeat_words) == (200_000, 200_000) and out[3].n_symbols == 500_000
