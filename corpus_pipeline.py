@@ -53,7 +53,7 @@ def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     path = public_tokenizers.path("piece_bpe_32k.model")
     marked = docs.select("doc_id", "text", F.md5("text").alias("of_text"))
-    back = pieces.encode(marked, path, keep=["doc_id", "of_text"], decoded=True)
+    back = pieces.encode(marked, path, keep=["doc_id", "of_text"], decoded=True, memo=100_000)
     return back.select("doc_id", "pieces", F.size("pieces").cast("long").alias("n_pieces"), (F.md5("decoded") == F.col("of_text")).alias("round_trip"))
 
 
