@@ -6,6 +6,7 @@ holds the rows of the new indices.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,6 +21,10 @@ from ..sources.datasource import Chunks, leaf_schema, read_rows, settings
 from ..sources.meta import load
 
 
+#: How often metadata that doesn't hang together is read again, and the seconds before each time.
+TRIES, PAUSE = 50, 0.1
+
+
 class AppendedGrid(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -42,7 +47,14 @@ class AppendedReader(DataSourceStreamReader):
         return {"end": 0}
 
     def latestOffset(self) -> dict:
-        return {"end": load(self.options["path"]).dims[self.along]}
+        # While the store is being written its arrays may have other lengths than their dimensions.
+        for left in range(TRIES - 1, -1, -1):
+            try:
+                return {"end": load(self.options["path"]).dims[self.along]}
+            except (ValueError, KeyError, FileNotFoundError):
+                if not left:
+                    raise
+                time.sleep(PAUSE)
 
     def _leaf(self):
         meta = load(self.options["path"])

@@ -126,3 +126,23 @@ def test_wide_regions_meet_quickly():
     yes, _ = where.regions(Axes(space, {"a": range(8000), "b": range(8000)}))
     assert 0 < len(yes.boxes) <= 4096
     assert all(any(lo <= i < hi and lo2 <= j < hi2 for (lo, hi), (lo2, hi2) in yes.boxes) for i, j in [(0, 0), (4000, 2), (7998, 7998)])
+
+
+def test_stream_waits_for_a_writer(tmp_path):
+    """Metadata in the middle of being written is read again."""
+    import json
+    import threading
+
+    from gridloom.streaming.append import AppendedReader
+
+    root = tmp_path / "s"
+    w = GridWriter(str(root))
+    w.array("time", np.arange(2), ["time"])
+    w.array("v", np.arange(4.0), ["time"], (2,))
+    whole = {n: (root / n / "zarr.json").read_text() for n in ("time", "v")}
+    reader = AppendedReader({"path": str(root), "vars": "v", "along": "time"}, None)
+    short = json.loads(whole["time"]) | {"shape": [4]}
+    timer = threading.Timer(0.4, lambda: (root / "time" / "zarr.json").write_text(json.dumps(short)))
+    timer.start()
+    assert reader.latestOffset() == {"end": 4}
+    timer.join()
