@@ -14,7 +14,9 @@ A model file is compiled to a cascade of transducers:
   unknown piece) into the starting state.
 
 The cascade is composed with a text as far as it is read, and the encoding is the
-shortest path in the tropical semiring, by one routine for both kinds of models.  No
+shortest path in the tropical semiring, by one routine for both kinds of models.  Where
+all characters are pieces of a pair-encoding model, one path only reaches each place: no
+weights are summed then, and places are settled from the end on, as far as needed.  No
 piece goes on past the space before a word (checked when compiling), so the composed
 lattice falls apart before spaces, and a worker remembers the paths of parts.
 
@@ -28,12 +30,12 @@ from __future__ import annotations
 
 import re
 import struct
+from array import array
 from collections import deque
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,7 +47,8 @@ from .common import held, map_texts
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-#: Parts of texts whose paths a worker remembers, and characters of the longest one; the memory is emptied when full.
+#: Parts of texts whose paths a worker remembers until the next so many (those with and without a space before them share what were two
+#: memories), and characters of the longest one.
 MEMO, MEMO_CHARS = 250_000, 32
 #: Fixed value: what the unknown piece decodes to where a model names nothing else.
 UNKNOWN_SIGN = " ⁇ "
@@ -203,6 +206,11 @@ class PieceArcs:
             if tokens:
                 self.ends.make_automaton()
         self.ids, self.weights = [usable[t] for t in tokens], [-score[t] for t in tokens]
+        #: For each piece of a pair-encoding model its longest proper ending that is a piece: place and length.
+        self.shorter: list[tuple[int, int] | None] = []
+        if self.pairs:
+            place = {t: (i, len(t)) for i, t in enumerate(tokens)}
+            self.shorter = [next((place[t[i:]] for i in range(1, len(t)) if t[i:] in place), None) for t in tokens]
 
         #: All weights of a unigram model, those met so far of a pair-encoding one, by state and piece; unigram states fall together.
         self.arcs: dict[int, float] = {} if self.pairs else dict(enumerate(self.weights))
@@ -230,6 +238,8 @@ def shortest_path(arcs: PieceArcs, text: str) -> list[int]:
     Arcs into a place are taken in the order of places, so what leads to their start is settled.  Both kinds of models
     have one state at each place: unigram models have no other, and pair encodings have one last piece of each prefix.
     """
+    if arcs.pairs is not None and arcs.chars.issuperset(text):
+        return _only_path(arcs, text)
     n, inf = len(text), float("inf")
     cost, last, back = [0.0] + [inf] * n, [START] * (n + 1), [0] * (n + 1)
     known, weight, mask, one, ids = arcs.arcs.get, arcs.weight, arcs.mask, arcs.pairs is not None, arcs.ids
@@ -260,6 +270,41 @@ def shortest_path(arcs: PieceArcs, text: str) -> list[int]:
     return out[::-1]
 
 
+def _only_path(arcs: PieceArcs, text: str) -> list[int]:
+    """``shortest_path`` where one path only reaches each place, so that nothing is summed.
+
+    The arcs into a place are those of the longest piece that ends there and of its endings.  From the text's end on,
+    places are settled only as arcs start from them: each by the first of its arcs that is not infinitely heavy.
+    """
+    inf, n = float("inf"), len(text)
+    known, weight, ids, shorter = arcs.arcs.get, arcs.weight, arcs.ids, arcs.shorter
+    # By a prefix's last character; of several pieces that end with it the longest comes first.
+    tried = dict(reversed(list(arcs.ends.iter(text))))
+    last = [None] * n + [START]
+    stack = [n - 1] if n else []
+    while stack:
+        end = stack[-1]
+        piece = tried[end]
+        # Before the first character is index -1, the last of the list.
+        while (before := last[end - piece[1]]) is not None:
+            w = known(before << 20 | piece[0])
+            if (weight(before, piece[0]) if w is None else w) < inf:
+                last[end] = piece[0]
+                stack.pop()
+                break
+            piece = shorter[piece[0]]
+        else:
+            stack.append(end - piece[1])
+        tried[end] = piece
+    out, j = [], n - 1
+    while j >= 0:
+        t, size = tried[j]
+        out.append(ids[t])
+        j -= size
+    out.reverse()
+    return out
+
+
 def _step_over(arcs: PieceArcs, i: int, cost: list[float], last: list[int], back: list[int]) -> None:
     """The arc of the strange character at a place, into the starting state."""
     if cost[i] + arcs.strange < cost[i + 1]:
@@ -276,79 +321,66 @@ class Transducer:
         #: The lattice falls apart before each run of spaces, unless a piece goes on past one.
         mark = MARK if m.escape else " "
         self.apart = not any(mark in p.lstrip(mark) for p, _, k in m.pieces if k == NORMAL)
-        self.parts = re.compile(" *[^ ]+| +").findall
         #: It also falls apart around line feeds, if they are bytes of their own whatever is beside them.
-        self.lines = m.byte_fallback and not m.trim and not any("\n" in p for p, _, k in m.pieces if k == NORMAL)
+        lines = m.byte_fallback and not m.trim and not any("\n" in p for p, _, k in m.pieces if k == NORMAL)
+        feed, no_feed = (r"\n|", r"\n") if lines else ("", "")
         #: And between letters and other characters, if no piece has both.
-        falls = regex.compile(r"\p{L}+|\P{L}+").findall
-        mixed = any(len(falls(p.lstrip(mark))) > 1 for p, _, k in m.pieces if k == NORMAL)
-        self.falls = falls if m.byte_fallback and not mixed else lambda text: [text]
-        #: The paths of parts: of a text's start, of the rest without and with a space before them.
-        self.memo: tuple[dict[str, tuple[int, ...]], ...] = ({}, {}, {})
-        self.older: list[dict[str, tuple[int, ...]]] = [{}, {}, {}]
+        numbers = re.escape("".join(sorted({c for p, _, _ in m.pieces for c in p if c.isalnum() and not c.isalpha()})))
+        falls = re.compile(rf"[^\W\d_{numbers}]+|[\W\d_{numbers}]+").findall
+        mixed = not m.byte_fallback or any(len(falls(p.lstrip(mark))) > 1 for p, _, k in m.pieces if k == NORMAL)
+        words = rf" *[^ {no_feed}]+" if mixed else rf" *[^\W\d_{numbers}]+| *(?:(?![ {no_feed}])[\W\d_{numbers}])+"
+        self.parts = re.compile(rf"{feed}{words}| +").findall
+        #: The paths of parts, as bytes of int32: of a text's start, and of the rest; then those not asked for since the last time.
+        self.memo: list[dict[str, bytes]] = [{}, {}]
+        self.older: list[dict[str, bytes]] = [{}, {}]
         self.space = self.spacer.read(" x", Spacer.TEXT)[:-1]
         table = [p.encode().replace(MARK.encode(), b" ") if m.escape else p.encode() for p, _, _ in m.pieces]
         for i, (p, _, k) in enumerate(m.pieces):
             table[i] = bytes([int(p[1:-1], 16)]) if k == BYTE else m.unknown_sign.encode() if k == UNKNOWN else b"" if k == CONTROL else table[i]
         self.written = table
 
-    def part(self, text: str, kind: int) -> tuple[int, ...]:
+    def part(self, text: str, kind: int) -> bytes:
         """The shortest path of the cascade composed with a part of a text; ``kind`` is its place in ``memo``."""
         memo = self.memo[kind]
-        found = memo.get(text) or self.older[kind].get(text)
+        found = memo.get(text)
         if found is None:
-            first, *rest = self.falls(text) if text and text[0] != " " else (text,)
-            if rest:
-                found = sum([self.part(x, 1) for x in rest], self.part(first, kind))
-            elif kind < 2:
-                read = self.spacer.read(text, Spacer.TEXT if kind else Spacer.EMPTY)
-            else:
-                # What the spacer writes for one space and a word is the same for all words.
-                read = self.spacer.read(" " + text, Spacer.TEXT) if not text or " " in text else self.space + text
+            found = self.older[kind].get(text)
             if found is None:
-                found = tuple(shortest_path(self.arcs, read))
-        if len(text) <= MEMO_CHARS:
-            if len(memo) >= self.most // 2:
-                # The half that was not asked for since the last time goes.
-                self.older[kind] = dict(memo)
-                memo.clear()
-            memo[text] = found
+                spaces = text.rfind(" ") if kind else 1
+                if spaces > 0 or text == " ":
+                    read = self.spacer.read(text, Spacer.TEXT if kind else Spacer.EMPTY)
+                else:
+                    # What the spacer writes for one space and a word is the same for all words.
+                    read = text if spaces else self.space + text[1:]
+                found = array("i", shortest_path(self.arcs, read)).tobytes()
+            if len(text) <= MEMO_CHARS:
+                if len(memo) >= self.most:
+                    # The half that was not asked for since the last time goes.
+                    self.older[kind], memo = memo, {}
+                    self.memo[kind] = memo
+                memo[text] = found
         return found
 
-    def line(self, text: str, out: list[int], kind: int) -> None:
-        """The ids of a text that is cut before spaces; ``kind`` is that of its first part, if no space is before it."""
-        if text[0] == " " or text[-1] == " " or "  " in text:
-            first, *rest = self.parts(text)
-            if first[0] == " " and kind:
-                first, kind = first[1:], 2
-            rest = [w[1:] for w in rest]
-        else:
-            first, *rest = text.split(" ")
-        out += self.part(first, kind)
-        add, known, new = out.extend, self.memo[2].get, self.part
-        for w in rest:
-            found = known(w)
-            add(new(w, 2) if found is None else found)
-
-    def encode(self, text: str) -> list[int]:
+    def encoded(self, text: str) -> bytes:
+        """``encode`` as bytes of int32."""
         if self.rules:
             text = self.rules.apply(text)
-        out: list[int] = []
         if not text:
-            return out
+            return b""
         # A space mark in the text may share a piece with the space beside it.
         if not self.apart or MARK in text:
-            return shortest_path(self.arcs, self.spacer.read(text, Spacer.EMPTY))
-        first, *rest = text.split("\n") if self.lines else (text,)
-        if rest and not first:
-            out += shortest_path(self.arcs, self.spacer.arcs[Spacer.EMPTY, False][1])
-        if first:
-            self.line(first, out, 0)
-        for line in rest:
-            out += self.arcs.strange_character("\n", False)
-            if line:
-                self.line(line, out, 1)
-        return out
+            return array("i", shortest_path(self.arcs, self.spacer.read(text, Spacer.EMPTY))).tobytes()
+        parts = self.parts(text)
+        out = list(map(self.memo[1].get, parts))
+        out[0] = self.part(parts[0], 0)
+        part = self.part
+        for i, found in enumerate(out):
+            if found is None:
+                out[i] = part(parts[i], 1)
+        return b"".join(out)
+
+    def encode(self, text: str) -> list[int]:
+        return np.frombuffer(self.encoded(text), np.int32).tolist()
 
     def decode(self, ids) -> str:
         """The text of ids: the inverse of the piece transducer, and the leading space taken away."""
@@ -374,12 +406,11 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: list[str] | Non
         both = transducer(path, memo)
 
         def run(texts):
-            ids = [both.encode(t.decode("utf-8", "replace")) if t else [] for t in texts]
+            ids = [both.encoded(t.decode("utf-8", "replace")) if t else b"" for t in texts]
             offsets = np.zeros(len(ids) + 1, np.int32)
-            np.cumsum([len(x) for x in ids], out=offsets[1:])
-            flat = np.fromiter((i for x in ids for i in x), np.int32, int(offsets[-1]))
-            out = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
-            return [*out, [both.decode(x) for x in ids]] if decoded else out
+            np.cumsum([len(x) // 4 for x in ids], out=offsets[1:])
+            out = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), np.int32)))]
+            return [*out, [both.decode(np.frombuffer(x, np.int32).tolist()) for x in ids]] if decoded else out
 
         return run
 

@@ -29,6 +29,28 @@ def test_against_library():
             assert own.decode(ids) == t
 
 
+def test_few_arcs_are_weighed_and_parts_remembered_once():
+    class Counting(dict):
+        asked = 0
+
+        def get(self, key):
+            Counting.asked += 1
+            return super().get(key)
+
+    own, ref = pieces.Transducer(PATH), sentencepiece.SentencePieceProcessor(model_file=PATH)
+    own.arcs.arcs = Counting()
+    words = "understanding interpretations thoronsh rementeau thedwhnt einöenen ciónícique quelean".split()
+    text = " ".join(words)
+    assert own.encode(text) == ref.encode(text)
+    assert Counting.asked <= len(text)
+    # With other characters beside them, words are remembered by themselves.
+    asked = Counting.asked
+    for mark in ",.;:!?)1":
+        text = "x " + mark.join(f" {w}" for w in words) + mark
+        assert own.encode(text) == ref.encode(text)
+    assert Counting.asked - asked < 100 and sum(map(len, own.memo)) < 50
+
+
 def test_unigram_lattice(tmp_path):
     """A small unigram model, built here byte by byte, against all segmentations."""
     import itertools
