@@ -1,10 +1,11 @@
 import random
 
 import public_tokenizers
+import pyarrow as pa
 import sentencepiece
 
 import corpus_pipeline
-from gridloom.llm import lines
+from gridloom.llm import common, lines
 
 from . import test_decontam, test_lines, test_quality
 
@@ -136,3 +137,17 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     out = sorted((r.doc_id, list(r.pieces)) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
     assert out == [(i, model.encode(t)) for i, t in want[-1]]
+
+
+def test_batches_of_texts_are_bounded(spark):
+    """10,000 rows of long texts are far more than a Python task and its JVM should hold at once."""
+    rows = spark.range(0, 4000, 1, 1).selectExpr("id as doc_id", "repeat(cast(id as string), 2500) as text")
+    encoded = common.map_texts(rows, "text", ["doc_id"], [("n", "long")], lambda: lambda texts: [[len(t) for t in texts]])
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"size": pa.array([b.nbytes], pa.int64())})
+
+    assert encoded.selectExpr("sum(n)").first()[0] == sum(len(str(i)) * 2500 for i in range(4000))
+    found = [r.size for r in rows.mapInArrow(sizes, "size long").collect()]
+    assert sum(found) > 30 << 20 and max(found) < 16 << 20
